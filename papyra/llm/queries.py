@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import line_dedup, url_filters
+from papyra.llm import byte_bpe, language_id, line_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ SELECT doc_id, n_lines, n_removed, kept FROM kept
 """
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.rule_table(spark))
 
@@ -58,5 +68,10 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM m WHERE nth = 1
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op10_url_filters": op10_url_filters}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op8_language_id": op8_language_id,
+    "op10_url_filters": op10_url_filters,
+}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_url_filters": OP10_SQL}
