@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, language_id, line_dedup, url_filters
+from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, packing, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +39,35 @@ SELECT doc_id, n_lines, n_removed, kept FROM kept
 """
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media_columns.text_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        "media.payload_bytes",
+        F.lower(F.hex("media.payload_sha256")).alias("payload_sha256"),
+        "media.tail_crc32",
+        "media.media_bytes",
+        F.lower(F.hex("media.media_sha256")).alias("media_sha256"),
+        "media.feature",
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(manifest, payloads=False).select(
+        F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.select("doc_id", "text", "lang"))
@@ -70,7 +96,10 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FRO
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_media_columns": op2_media_columns,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
+    "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op10_url_filters": op10_url_filters,
 }
