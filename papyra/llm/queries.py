@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, packing, url_filters, warc
+from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, packing, suffix_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.rule_table(spark))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op10_url_filters": OP10_SQL}
