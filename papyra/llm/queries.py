@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, packing, suffix_dedup, url_filters, warc
+from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, ngram_join, packing, suffix_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
+    "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
