@@ -290,6 +290,6 @@ def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text
 
 def only_identified(df: DataFrame, model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """df without the rows that have no language, or none with a posterior of at least least; its columns stay."""
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
-    good = identify(packed, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return good.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    own = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # whatever df's columns are called
+    good = identify(own, model, f"c{df.columns.index(text_col)}").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return good.select(*own.columns).toDF(*df.columns)

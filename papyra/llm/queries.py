@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, ngram_join, packing, suffix_dedup, url_filters, warc
+from papyra.llm import byte_bpe, language_id, line_dedup, media_columns, ngram_join, packing, suffix_dedup, url_filters, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs.select("doc_id", "text", "lang"))
@@ -109,6 +113,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_ngram_join": op5_ngram_join,
     "op6_packing": op6_packing,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filters": op10_url_filters,
