@@ -1,8 +1,57 @@
-"""Corpus pipeline; stages follow as their operators land."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, repeated passages, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next
+one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from papyra.llm import language_id, line_dedup, ngram_join, packing, suffix_dedup
+from papyra.llm.common import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language; those without a letter, or in no one language, go."""
+    return language_id.only_identified(docs, language_id.train(docs))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the three-line windows that occurred before."""
+    return line_dedup.line_dedup(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that an earlier document has."""
+    return suffix_dedup.suffix_dedup(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's length bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("packing", pack_batches),
+]
+
+#: Language ID's model and packing's boundaries are beyond SQL; a test holds run() against a plain version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents in sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
