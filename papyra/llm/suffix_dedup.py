@@ -24,6 +24,10 @@ LENGTH = 50
 SEED = 24
 #: Entries (one a chunk for each different run) from which a hash's windows are compared one by one, each in the task of its own bytes.
 HOT = 4096
+#: Times as many buckets for runs as for keys.
+SPLIT = 4
+#: Windows that are hashed, and about as many that are sorted, at a time.
+PART = 1 << 19
 
 A = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -59,46 +63,41 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 class Runs:
-    """The runs of a text: maximal stretches of windows inside a document that share their smallest hash.
+    """The runs of a text: stretches of windows inside a document that share their smallest hash.
 
     start: of the first window; windows: how many; key: the hash; owner: the document's number; code: a hash of
-    the bytes from start to the end of the last window.
+    the bytes from start to the end of the last window. The text is gone through a part at a time, which bounds
+    memory; a run that lies on the border of two parts is two, which costs no match.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        lengths = np.diff(starts)
-        empty = np.empty(0, np.int64)
-        self.start = self.windows = self.owner = empty
-        self.key = self.code = np.empty(0, np.uint64)
-        if not (lengths >= LENGTH).any():
-            return
-        seeds, wide = _rolling(data)
+    def __init__(self, data: np.ndarray, starts: np.ndarray, part: int | None = None):
+        found = [part_ for a in range(0, max(0, len(data) - LENGTH + 1), part or PART) for part_ in self._part(data, starts, a, part or PART)]
+        empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        self.start, self.windows, self.owner, self.key, self.code = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+
+    @staticmethod
+    def _part(data: np.ndarray, starts: np.ndarray, low: int, part: int):
+        """start, windows, owner, key and code of the runs whose windows start from low, part of them at most."""
+        text = data[low : low + part + LENGTH - 1]
+        seeds, wide = _rolling(text)
         least = _slide(seeds, LENGTH - SEED + 1, np.minimum)
-        owner = np.repeat(np.arange(len(lengths)), lengths)[: len(least)]
-        inside = np.arange(len(least)) <= (starts[1:] - LENGTH)[owner]
-        begin = np.empty(len(least), dtype=bool)
-        begin[0] = True
+        first = int(np.searchsorted(starts, low, side="right")) - 1
+        last = int(np.searchsorted(starts, low + len(least), side="left"))
+        edges = np.clip(starts[first : last + 1] - low, 0, len(least))
+        owner = np.repeat(np.arange(first, first + len(edges) - 1), np.diff(edges))
+        inside = np.arange(low, low + len(least)) <= (starts[1:] - LENGTH)[owner]
+        begin = np.ones(len(least), dtype=bool)
         begin[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
         at = np.flatnonzero(begin)
         size = np.diff(np.append(at, len(least)))
         good = inside[at]
-        self.start, self.windows = at[good], size[good]
-        self.key, self.owner = least[self.start], owner[self.start]
-        self.code = self._code(data, wide)
+        at, size = at[good], size[good]
+        yield at + low, size, owner[at], least[at], run_codes(text, wide, at, size + (LENGTH - 1))
 
     @property
     def size(self) -> np.ndarray:
         return self.windows + (LENGTH - 1)
 
-    def _code(self, data: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """Three hashes of 32 bytes cover up to 96; longer runs, of repeated bytes, are hashed whole."""
-        size = self.size
-        code = (wide[self.start] * A[1] + wide[self.start + (size - 32) // 2]) * A[2] + wide[self.start + size - 32]
-        code = _mix(code * A[3] + size.astype(np.uint64))
-        for i in np.flatnonzero(size > 96):
-            code[i] = int.from_bytes(hashlib.blake2b(data[self.start[i] : self.start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
-        return code
-
     def take(self, which: np.ndarray) -> Runs:
         out = object.__new__(Runs)
         for name in ("start", "windows", "key", "owner", "code"):
@@ -106,12 +105,42 @@ class Runs:
         return out
 
 
+def run_codes(data: np.ndarray, wide: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start, so many each: three of 32 bytes cover up to 96; longer runs are hashed whole."""
+    code = (wide[start] * A[1] + wide[start + (size - 32) // 2]) * A[2] + wide[start + size - 32]
+    code = _mix(code * A[3] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > 96):
+        code[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return code
+
+
 def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of data from each start, so many each, one after another."""
     before = np.cumsum(size) - size
     return data[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
+def _window_codes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """run_codes of single windows."""
+    size = np.full(len(start), LENGTH)
+    text = _pieces(data, start, size)
+    return run_codes(text, _rolling(text)[1], np.arange(len(start)) * LENGTH, size)
+
+
+def _keys_and_codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and code of runs whose bytes lie one after another in data."""
+    keys, codes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    at, ends = 0, start + size
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(ends, start[at] + PART)))
+        text, own = data[start[at] : ends[to - 1]], start[at:to] - start[at]
+        seeds, wide = _rolling(text)
+        keys.append(_slide(seeds, LENGTH - SEED + 1, np.minimum)[own])
+        codes.append(run_codes(text, wide, own, size[at:to]))
+        at = to
+    return np.concatenate(keys), np.concatenate(codes)
+
+
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts by keys (the first one first; ties keep their order), and where a new group of keys[:-1] begins in it."""
     order = np.lexsort(keys[::-1])
@@ -195,7 +224,7 @@ def _send(ids: np.ndarray, data: np.ndarray, runs: Runs, shared: np.ndarray, hot
         single.start = np.repeat(runs.start[many] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
         single.windows = np.ones(len(single.start), dtype=np.int64)
         single.key, single.owner = np.repeat(runs.key[many], reps), np.repeat(runs.owner[many], reps)
-        single.code = single._code(data, _rolling(data)[1])
+        single.code = np.concatenate([_window_codes(data, single.start[i : i + PART]) for i in range(0, len(single.start), PART)])
         cold = runs.take(np.flatnonzero(~hot))
         place = np.concatenate([cold.key, single.code])
         for name in ("start", "windows", "key", "owner", "code"):
@@ -232,11 +261,9 @@ def _settle(held: list[tuple[int, bytes]]):
     size = np.concatenate([p[1] for p in parts]).astype(np.int64)
     data = np.concatenate([p[6] for p in parts])
     start = np.cumsum(size) - size
-    seeds, wide = _rolling(data)
-    key = _slide(seeds, LENGTH - SEED + 1, np.minimum)[start]
+    key, code = _keys_and_codes(data, start, size)
     runs = Runs.__new__(Runs)
-    runs.start, runs.windows, runs.key, runs.owner = start, size - (LENGTH - 1), key, np.arange(len(size))
-    runs.code = runs._code(data, wide)
+    runs.start, runs.windows, runs.key, runs.owner, runs.code = start, size - (LENGTH - 1), key, np.arange(len(size)), code
 
     order, new = _first_runs(runs, doc)
     kind = np.empty(len(order), dtype=np.int64)
@@ -248,7 +275,7 @@ def _settle(held: list[tuple[int, bytes]]):
     todo = np.flatnonzero(several)
     found_at, found_size, found_kind = [np.empty(0, np.int64)] * 3
     if len(todo):
-        step, at = 1 << 20, 0
+        step, at = PART, 0
         amount = np.cumsum(runs.windows[first[todo]])
         pieces = []
         while at < len(todo):  # some whole groups at a time
@@ -307,6 +334,7 @@ def suffix_dedup(
     """
     listing = write_chunks(df.select(id_col, text_col) if report else df, text_col, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
     buckets = buckets_for(listing, 1 / 12)
+    parts = buckets * SPLIT  # runs have more bytes than their keys
 
     def chunk_runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Runs]:
         data, starts = text_bytes(table, text_col)
@@ -328,7 +356,7 @@ def suffix_dedup(
         if len(count) != len(keys):
             raise RuntimeError("counts don't fit the chunk")
         count = count[at]
-        for bucket, data in _send(ids, data, runs, count > 1, count >= hot, buckets):
+        for bucket, data in _send(ids, data, runs, count > 1, count >= hot, parts):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "bucket", "data"])
 
     def finish(chunk, path, held):
@@ -364,7 +392,7 @@ def suffix_dedup(
     names = df.columns
     counts = count_keys(listing, keys_of, buckets)
     mail = per_chunk(listing, send, "chunk long, bucket int, data binary", counts)
-    settled = per_bucket(mail, lambda bucket, held: _settle(held), buckets)
+    settled = per_bucket(mail, lambda bucket, held: _settle(held), parts)
     if report:
         schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     else:
