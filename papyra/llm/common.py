@@ -38,6 +38,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/papyra/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote to the shared folder; for when their results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/papyra/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df through Parquet in the shared folder: lineage ends here, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
