@@ -7,7 +7,7 @@ import json
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.schema import NOT_DETECTED, TYPE_ALIASES
@@ -123,14 +123,24 @@ def fuzzy_date(as_of: datetime.date):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(read)
 
-    return run
+    return run.asNondeterministic()  # keeps the call out of the expressions that use its result
 
 
-def any_date(c: Column, as_of: datetime.date, fuzzy: bool = True) -> Column:
-    """A date in any form. Only texts that plain_date can't read reach Python; fuzzy=False leaves them null."""
-    value = none_if_blank(c)
-    plain = plain_date(value)
-    return F.coalesce(plain, fuzzy_date(as_of)(F.when(plain.isNull(), value))) if fuzzy else plain
+def any_date(c: Column) -> Column:
+    """A date in one of the known forms, null for the sentinel too."""
+    return plain_date(none_if_blank(c))
+
+
+def with_date(df: DataFrame, name: str, source: Column, as_of: datetime.date, fuzzy: bool = True) -> DataFrame:
+    """df with the date of source as a column; only texts in no known form reach Python, and none with fuzzy=False.
+
+    The steps are columns of their own, so that the UDF's input is one plain column.
+    """
+    own = df.withColumn("__said", none_if_blank(source)).withColumn(name, plain_date(F.col("__said")))
+    if fuzzy:
+        own = own.withColumn("__left", F.when(F.col(name).isNull(), F.col("__said"))).withColumn("__read", fuzzy_date(as_of)(F.col("__left")))
+        own = own.withColumn(name, F.coalesce(name, "__read"))
+    return own.drop("__said", "__left", "__read")
 
 
 def stay_days(c: Column) -> Column:

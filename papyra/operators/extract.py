@@ -186,7 +186,7 @@ def _labelled(text: pd.Series, kind: pd.Series) -> pd.Series:
 
 def labelled_fields(text: Column, kind: Column) -> Column:
     """The fields of each text by its document type's key; all but passports and visas are generic."""
-    return F.pandas_udf(_labelled, FOUND)(text, kind)
+    return F.pandas_udf(_labelled, FOUND).asNondeterministic()(text, kind)  # called once, not once for each use of its result
 
 
 # -- confidence --------------------------------------------------------------------------------------------------

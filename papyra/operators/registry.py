@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import alphanumeric, digits, document_type, none_if_blank, strip
+from papyra.functions.text import alphanumeric, digits, document_type, let, none_if_blank, strip
 from papyra.operators.validate import issue, issues
 from papyra.schema import NOT_DETECTED, NUMBER_ALIASES, NUMBER_FIELD, REGISTRY, STATUS_SHOWN
 
@@ -15,7 +15,10 @@ GRAM = 6
 
 def document_number(fields: Column, kind: Column) -> Column:
     """The number to look up: the type's field, then the general ones; the sentinel if none was detected."""
-    key = document_type(kind)
+    return let(fields, lambda f: _number(f, document_type(kind)))
+
+
+def _number(fields: Column, key: Column) -> Column:
     own = F.lit(None).cast("string")
     for name, field in NUMBER_FIELD.items():
         own = F.when(key == name, none_if_blank(F.try_element_at(fields, F.lit(field)))).otherwise(own)
@@ -92,19 +95,30 @@ def mismatches(fields: Column, record: Column) -> Column:
     Names are equal if one contains the other; an undetected name counts as a name here, as screening always did. Dates
     are compared by their digits alone. No registered row, no issues.
     """
+    return let(F.struct(fields.alias("fields"), record.alias("record")), lambda r: _mismatches(r["fields"], r["record"]))
+
+
+def _mismatches(fields: Column, record: Column) -> Column:
     blank = lambda c: strip(F.coalesce(c, F.lit("")))
     of = lambda name: blank(F.try_element_at(fields, F.lit(name)))
-    name, known = F.upper(of("Name")), F.upper(blank(record["full_name"]))
+    read = F.struct(
+        F.upper(of("Name")).alias("name"), F.upper(blank(record["full_name"])).alias("known_name"), of("Date of Birth").alias("born"), blank(record["dob"]).alias("known_born"),
+        of("Date of Expiry").alias("ends"), blank(record["expiry_date"]).alias("known_ends"),
+    )
+    none = F.array().cast("array<struct<field:string,severity:string,message:string>>")
+    return F.when(record.isNotNull(), let(read, _compared)).otherwise(none)
+
+
+def _compared(r: Column) -> Column:
+    name, known = r["name"], r["known_name"]
     differs = (known != "") & (name != "") & (name != NOT_DETECTED) & ~F.contains(name, known) & ~F.contains(known, name)
 
     def dates(a: Column, b: Column) -> Column:
         return (a != "") & (b != "") & (a != NOT_DETECTED) & (digits(a) != "") & (digits(b) != "") & (digits(a) != digits(b))
 
-    born, ends, known_born, known_ends = of("Date of Birth"), of("Date of Expiry"), blank(record["dob"]), blank(record["expiry_date"])
     said = lambda what, a, middle, b: F.concat(F.lit(f"Extracted {what} '"), a, F.lit(f"' {middle} official database record '"), b, F.lit("'."))
-    found = issues(
+    return issues(
         (differs, issue("Name", "error", said("Name", name, "does not match", known))),
-        (dates(born, known_born), issue("Date of Birth", "error", said("DOB", born, "does not match", known_born))),
-        (dates(ends, known_ends), issue("Date of Expiry", "warning", said("Expiry", ends, "differs from", known_ends))),
+        (dates(r["born"], r["known_born"]), issue("Date of Birth", "error", said("DOB", r["born"], "does not match", r["known_born"]))),
+        (dates(r["ends"], r["known_ends"]), issue("Date of Expiry", "warning", said("Expiry", r["ends"], "differs from", r["known_ends"]))),
     )
-    return F.when(record.isNotNull(), found).otherwise(F.array().cast("array<struct<field:string,severity:string,message:string>>"))

@@ -97,7 +97,11 @@ def risk(status: Column, errors: Column, warnings: Column, registry_status: Colu
     Signals that are null are left out and the weights of the others scaled up; no signal at all is 50, MEDIUM. Then
     floors: blacklisted 80; similarity under 50, 65; tampering of 30 or more with a failed validation, 55.
     """
-    weights = weights or RISK_WEIGHTS
+    inputs = {"status": status, "errors": errors, "warnings": warnings, "registry": registry_status, "tampering": tampering, "face": similarity}
+    return let(F.struct(*(c.alias(k) for k, c in inputs.items())), lambda i: _signals(*(i[k] for k in inputs), weights or RISK_WEIGHTS))
+
+
+def _signals(status: Column, errors: Column, warnings: Column, registry_status: Column, tampering: Column, similarity: Column, weights: dict[str, float]) -> Column:
     signals = {
         "validation": validation_risk(status, errors, warnings),
         "db_status": registry_risk(registry_status),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import any_date, document_type, let, literal_map, none_if_blank, stay_days, strip
+from papyra.functions.text import any_date, document_type, let, literal_map, none_if_blank, stay_days, strip, with_date
 from papyra.schema import FIELD_FALLBACKS, MAX_STAY, NUMBER_FIELD, NUMBER_SHAPE, REQUIRED_FIELDS
 
 
@@ -25,6 +25,10 @@ def field_value(fields: Column, name: str) -> Column:
     return F.coalesce(*(none_if_blank(F.try_element_at(fields, F.lit(k))) for k in (name, *FIELD_FALLBACKS.get(name, ()))))
 
 
+def _value_of(fields: Column, name: str) -> Column:
+    return let(fields, lambda f: field_value(f, name))
+
+
 def number_matches(number: Column, kind: Column) -> Column:
     """Whether a number has the shape of its document type (raw label); false without number or known type."""
     key, value = document_type(kind), F.upper(strip(none_if_blank(number)))
@@ -34,15 +38,18 @@ def number_matches(number: Column, kind: Column) -> Column:
     return F.coalesce(shape, F.lit(False))
 
 
-def expiry(date_text: Column, as_of: datetime.date, fuzzy: bool = True) -> Column:
+def expiry(date_text: Column, as_of: datetime.date) -> Column:
     """is_expired and days_until_expiry, both null if the date can't be read."""
-    days = F.datediff(any_date(date_text, as_of, fuzzy), F.lit(as_of))
+    days = F.datediff(any_date(date_text), F.lit(as_of))
     return let(days, lambda n: F.struct((n < 0).alias("is_expired"), n.alias("days_until_expiry")))
 
 
 def required_fields(fields: Column, kind: Column) -> Column:
     """A warning for each required field that is missing, in the type's order."""
-    key = document_type(kind)
+    return let(fields, lambda f: _required(f, document_type(kind)))
+
+
+def _required(fields: Column, key: Column) -> Column:
     out = F.array().cast("array<struct<field:string,severity:string,message:string>>")
     for name, required in REQUIRED_FIELDS.items():
         missing = ((F.coalesce(strip(field_value(fields, f)), F.lit("")) == "", issue(f, "warning", F.lit(f"'{f}' could not be extracted and requires manual review."))) for f in required)
@@ -52,6 +59,10 @@ def required_fields(fields: Column, kind: Column) -> Column:
 
 def number_format(fields: Column, kind: Column) -> Column:
     """A warning if the type's number was detected and has the wrong shape."""
+    return let(fields, lambda f: _number_format(f, kind))
+
+
+def _number_format(fields: Column, kind: Column) -> Column:
     key = document_type(kind)
     value, name = F.lit(None).cast("string"), F.try_element_at(literal_map(NUMBER_FIELD), key)
     for known, field in NUMBER_FIELD.items():
@@ -60,10 +71,15 @@ def number_format(fields: Column, kind: Column) -> Column:
     return let(value, lambda v: issues((v.isNotNull() & ~number_matches(v, kind), issue(name, "warning", message(v)))))
 
 
-def date_logic(fields: Column, as_of: datetime.date, fuzzy: bool = True) -> Column:
-    """Unreadable dates (warnings); birth in the future, expiry in the past, expiry not after birth (errors)."""
+def date_logic(fields: Column, as_of: datetime.date, dates: tuple[Column, Column] | None = None) -> Column:
+    """dates: those of birth and expiry, where they were read beforehand. Unreadable dates (warnings); birth in the future, expiry in the past, expiry not after birth (errors)."""
+    return let(fields, lambda f: _date_logic(f, as_of, dates))
+
+
+def _date_logic(fields: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
     texts = {name: field_value(fields, field) for name, field in (("born", "Date of Birth"), ("ends", "Date of Expiry"))}
-    read = F.struct(*(t.alias(f"{n}_text") for n, t in texts.items()), *(any_date(t, as_of, fuzzy).alias(n) for n, t in texts.items()))
+    read = dict(zip(texts, dates, strict=True)) if dates else {n: any_date(t) for n, t in texts.items()}
+    read = F.struct(*(t.alias(f"{n}_text") for n, t in texts.items()), *(c.alias(n) for n, c in read.items()))
     return let(read, lambda r: _date_issues(r["born_text"], r["ends_text"], r["born"], r["ends"], F.lit(as_of)))
 
 
@@ -92,6 +108,10 @@ def _stay_limit(key: Column) -> Column:
 
 def cross_fields(fields: Column, kind: Column) -> Column:
     """For visas, an error if the stay is longer than the entry type allows."""
+    return let(fields, lambda f: _cross_fields(f, kind))
+
+
+def _cross_fields(fields: Column, kind: Column) -> Column:
     entry, stay = field_value(fields, "Entry Validation"), field_value(fields, "Stay Duration")
     read = F.struct(entry.alias("entry"), stay_days(stay).alias("days"), stay_limit(entry).alias("most"))
     message = lambda r: F.concat(
@@ -106,17 +126,37 @@ def status_of(found: Column) -> Column:
     return F.when(F.exists(found, lambda x: x["severity"] == "error"), "fail").when(F.size(found) > 0, "warning").otherwise("pass")
 
 
-def validate(fields: Column, kind: Column, as_of: datetime.date, fuzzy: bool = True) -> Column:
-    """document_type, status and issues of a document's fields (a map); fields that hold a note alone give that as a warning."""
+def validate(fields: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None = None) -> Column:
+    """document_type, status and issues of a document's fields (a map); fields that hold a note alone give that as a warning.
+
+    Dates in known forms are read here; for others, see validated.
+    """
+    return let(fields, lambda f: _validate(f, kind, as_of, dates))
+
+
+def _validate(fields: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
     note_only = (F.size(fields) == 1) & F.map_contains_key(fields, F.lit("note"))
     note = F.array(issue("_document_type", "warning", F.try_element_at(fields, F.lit("note"))))
-    checks = F.concat(required_fields(fields, kind), number_format(fields, kind), date_logic(fields, as_of, fuzzy), cross_fields(fields, kind))
+    checks = F.concat(required_fields(fields, kind), number_format(fields, kind), date_logic(fields, as_of, dates), cross_fields(fields, kind))
     found = F.when(note_only, note).otherwise(checks)
     return let(found, lambda f: F.struct(kind.alias("document_type"), status_of(f).alias("status"), f.alias("issues")))
 
 
+def validated(df: DataFrame, as_of: datetime.date, fuzzy: bool = True, fields: str = "fields", kind: str = "document_type") -> DataFrame:
+    """df with ``validation``; fuzzy: dates in free form are read too."""
+    rows = df
+    for name, field in (("__born", "Date of Birth"), ("__ends", "Date of Expiry")):
+        rows = with_date(rows, name, _value_of(F.col(fields), field), as_of, fuzzy)
+    value = validate(F.col(fields), F.col(kind), as_of, (F.col("__born"), F.col("__ends")))
+    return rows.withColumn("validation", value).drop("__born", "__ends")
+
+
 def summary(validation: Column) -> Column:
     """is_valid, field_errors (the last error of each field) and warnings."""
+    return let(validation, _summary)
+
+
+def _summary(validation: Column) -> Column:
     found = validation["issues"]
     errors = F.filter(found, lambda x: x["severity"] == "error")
     names = F.array_distinct(F.transform(errors, lambda x: x["field"]))
@@ -130,12 +170,10 @@ def with_mismatches(validation: Column, mismatches: Column) -> Column:
     more = F.coalesce(mismatches, F.array().cast("array<struct<field:string,severity:string,message:string>>"))
     failed = lambda m: F.exists(m, lambda x: x["severity"] == "error")
     return let(
-        more,
-        lambda m: F.struct(
-            validation["document_type"].alias("document_type"),
-            F.when(failed(m), "fail").otherwise(validation["status"]).alias("status"),
-            F.concat(validation["issues"], m).alias("issues"),
+        F.struct(validation.alias("v"), more.alias("m")),
+        lambda r: F.struct(
+            r["v"]["document_type"].alias("document_type"),
+            F.when(failed(r["m"]), "fail").otherwise(r["v"]["status"]).alias("status"),
+            F.concat(r["v"]["issues"], r["m"]).alias("issues"),
         ),
     )
-
-

@@ -273,9 +273,9 @@ dates AS (SELECT o_orderkey, o_orderdate::DATE AS day, CASE WHEN o_orderkey % 8
 def expiry_days(spark, d):
     """V3's known forms and V6."""
     value = _date_text(F.col("o_orderkey"), F.col("o_orderdate"))
-    found = validate.expiry(value, AS_OF, fuzzy=False)
+    found = validate.expiry(value, AS_OF)
     return table(spark, d, "orders").select(
-        "o_orderkey", text.any_date(value, AS_OF, fuzzy=False).cast("string").alias("parsed"), found["is_expired"].alias("is_expired"), found["days_until_expiry"].alias("days")
+        "o_orderkey", text.any_date(value).cast("string").alias("parsed"), found["is_expired"].alias("is_expired"), found["days_until_expiry"].alias("days")
     )
 
 
@@ -288,7 +288,7 @@ def date_logic(spark, d):
     k = F.col("o_orderkey")
     born = F.when(k % 2 == 0, F.date_add("o_orderdate", 400)).otherwise(F.date_add("o_orderdate", -9000)).cast("string")
     fields = F.create_map(F.lit("Date of Birth"), born, F.lit("Date of Expiry"), _date_text(k, F.col("o_orderdate")))
-    found = F.transform(validate.date_logic(fields, AS_OF, fuzzy=False), lambda x: F.concat(x["field"], F.lit(":"), x["severity"]))
+    found = F.transform(validate.date_logic(fields, AS_OF), lambda x: F.concat(x["field"], F.lit(":"), x["severity"]))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(found, ";").alias("found"))
 
 
@@ -340,7 +340,7 @@ WITH {GAPPY_SQL} SELECT o_orderkey, CASE WHEN ended THEN 'fail' WHEN missing <>
 """)
 def validation_status(spark, d):
     """V11 and V12."""
-    rows = _gappy(spark, d).withColumn("v", validate.validate(F.col("fields"), F.col("kind"), AS_OF, fuzzy=False)).withColumn("s", validate.summary(F.col("v")))
+    rows = _gappy(spark, d).withColumn("v", validate.validate(F.col("fields"), F.col("kind"), AS_OF)).withColumn("s", validate.summary(F.col("v")))
     return rows.select("o_orderkey", "v.status", "s.is_valid", F.size("s.warnings").alias("warnings"))
 
 
@@ -352,7 +352,7 @@ WITH {GAPPY_SQL} SELECT severity, field, count(*) AS n FROM (
 """)
 def issue_unpivot(spark, d):
     """Issues as rows, errors first, counted."""
-    found = validate.validate(F.col("fields"), F.col("kind"), AS_OF, fuzzy=False)["issues"]
+    found = validate.validate(F.col("fields"), F.col("kind"), AS_OF)["issues"]
     rows = _gappy(spark, d).select(F.explode(reports.errors_first(found)).alias("i"))
     return rows.groupBy("i.severity", "i.field").agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions.text import let
 from papyra.operators import extract, ledger, registry, risk, validate
 from papyra.schema import RISK_WEIGHTS
 
@@ -37,14 +38,13 @@ def screen(documents: DataFrame, known: DataFrame, config: Config) -> DataFrame:
     for name, kind in (("tampering", TAMPERING), ("face_match", FACE)):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    rows = rows.withColumn("validation", validate.validate(F.col("fields"), F.col("document_type"), config.as_of, config.fuzzy_dates))
+    rows = validate.validated(rows, config.as_of, config.fuzzy_dates)
     rows = rows.withColumn("document_number", registry.document_number(F.col("fields"), F.col("document_type")))
     rows = registry.lookup(rows, known, "document_number", config.contained_numbers)
     if config.cross_check:
         rows = rows.withColumn("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"))))
-    scored = risk.risk(
-        *risk.of_validation(F.col("validation")), F.col("registry_status"), F.col("tampering.tampering_score").cast("double"), F.col("face_match.similarity_score"), config.weights
-    )
+    tampering, face = F.col("tampering.tampering_score").cast("double"), F.col("face_match.similarity_score")
+    scored = let(F.col("validation"), lambda v: risk.risk(*risk.of_validation(v), F.col("registry_status"), tampering, face, config.weights))
     return rows.withColumn("risk", scored)
 
 
