@@ -39,7 +39,7 @@ def none_if_blank(c: Column) -> Column:
 def document_type(c: Column) -> Column:
     """The key of a document type; unknown ones pass through, null is empty."""
     key = F.translate(F.lower(strip(F.coalesce(c, F.lit("")))), " -", "__")
-    return F.coalesce(F.try_element_at(literal_map(TYPE_ALIASES), key), key)
+    return let(key, lambda k: F.coalesce(F.try_element_at(literal_map(TYPE_ALIASES), k), k))
 
 
 def lines(c: Column) -> Column:
@@ -56,7 +56,7 @@ def digits(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def to_int(c: Column) -> Column:

@@ -26,8 +26,8 @@ def detector(confidence: Column, limit: float = 0.5, suspicious: Column | None =
 def photo_substitution(ela_ratio: Column, noise_ratio: Column) -> Column:
     """From the ratios of compression error and of noise, photo to background; no photo (null) is not suspicious."""
     part = lambda ratio, scale, weight: F.abs(F.ln(F.when(ratio > 0, ratio))) / scale * weight
-    confidence = F.bround(F.least(F.lit(1.0), part(ela_ratio, 2.0, 0.6) + part(noise_ratio, 3.0, 0.4)), 3)
-    return detector(confidence)
+    total = part(ela_ratio, 2.0, 0.6) + part(noise_ratio, 3.0, 0.4)
+    return detector(F.when(total.isNotNull(), F.bround(F.least(F.lit(1.0), total), 3)))
 
 
 def font_consistency(deviation: Column, median_height: Column, outliers: Column, glyphs: Column) -> Column:

@@ -15,7 +15,7 @@ GRAM = 6
 
 def document_number(fields: Column, kind: Column) -> Column:
     """The number to look up: the type's field, then the general ones; the sentinel if none was detected."""
-    return let(fields, lambda f: _number(f, document_type(kind)))
+    return let(F.struct(fields.alias("f"), document_type(kind).alias("k")), lambda r: _number(r["f"], r["k"]))
 
 
 def _number(fields: Column, key: Column) -> Column:
@@ -60,8 +60,8 @@ def lookup(df: DataFrame, registry: DataFrame, number: str = "document_number",
     columns = df.columns
     record = F.struct(*registry.columns).alias("record")
     known = registry.select(F.col("document_number").alias("__known"), record)
-    probes = df.withColumn("__raw", F.upper(strip(none_if_blank(F.col(number)))))
-    probes = probes.withColumn("__raw", F.when(F.col("__raw") != "", F.col("__raw")))
+    raw = let(F.col(number), lambda n: let(F.upper(strip(none_if_blank(n))), lambda r: F.when(r != "", r)))
+    probes = df.withColumn("__raw", raw)
     exact = probes.join(known, F.col("__raw") == F.col("__known"), "left")
     if not contained:
         found = exact

@@ -31,7 +31,14 @@ def _value_of(fields: Column, name: str) -> Column:
 
 def number_matches(number: Column, kind: Column) -> Column:
     """Whether a number has the shape of its document type (raw label); false without number or known type."""
-    key, value = document_type(kind), F.upper(strip(none_if_blank(number)))
+    return let(F.struct(number.alias("n"), document_type(kind).alias("k")), lambda r: _matches(r["n"], r["k"]))
+
+
+def _matches(number: Column, key: Column) -> Column:
+    return let(F.upper(strip(none_if_blank(number))), lambda value: _shape(value, key))
+
+
+def _shape(value: Column, key: Column) -> Column:
     shape = F.lit(False)
     for name, pattern in NUMBER_SHAPE.items():
         shape = F.when(key == name, value.rlike(pattern)).otherwise(shape)
@@ -46,7 +53,11 @@ def expiry(date_text: Column, as_of: datetime.date) -> Column:
 
 def required_fields(fields: Column, kind: Column) -> Column:
     """A warning for each required field that is missing, in the type's order."""
-    return let(fields, lambda f: _required(f, document_type(kind)))
+    return let(_with_key(fields, kind), lambda r: _required(r["f"], r["k"]))
+
+
+def _with_key(fields: Column, kind: Column) -> Column:
+    return F.struct(fields.alias("f"), document_type(kind).alias("k"), kind.alias("kind"))
 
 
 def _required(fields: Column, key: Column) -> Column:
@@ -59,16 +70,15 @@ def _required(fields: Column, key: Column) -> Column:
 
 def number_format(fields: Column, kind: Column) -> Column:
     """A warning if the type's number was detected and has the wrong shape."""
-    return let(fields, lambda f: _number_format(f, kind))
+    return let(_with_key(fields, kind), lambda r: _number_format(r["f"], r["k"], r["kind"]))
 
 
-def _number_format(fields: Column, kind: Column) -> Column:
-    key = document_type(kind)
+def _number_format(fields: Column, key: Column, kind: Column) -> Column:
     value, name = F.lit(None).cast("string"), F.try_element_at(literal_map(NUMBER_FIELD), key)
     for known, field in NUMBER_FIELD.items():
         value = F.when(key == known, field_value(fields, field)).otherwise(value)
     message = lambda v: F.concat(F.lit("'"), v, F.lit("' does not match the expected format for "), F.coalesce(kind, F.lit("None")), F.lit(" numbers."))
-    return let(value, lambda v: issues((v.isNotNull() & ~number_matches(v, kind), issue(name, "warning", message(v)))))
+    return let(value, lambda v: issues((v.isNotNull() & ~_matches(v, key), issue(name, "warning", message(v)))))
 
 
 def date_logic(fields: Column, as_of: datetime.date, dates: tuple[Column, Column] | None = None) -> Column:
@@ -108,17 +118,17 @@ def _stay_limit(key: Column) -> Column:
 
 def cross_fields(fields: Column, kind: Column) -> Column:
     """For visas, an error if the stay is longer than the entry type allows."""
-    return let(fields, lambda f: _cross_fields(f, kind))
+    return let(_with_key(fields, kind), lambda r: _cross_fields(r["f"], r["k"]))
 
 
-def _cross_fields(fields: Column, kind: Column) -> Column:
+def _cross_fields(fields: Column, key: Column) -> Column:
     entry, stay = field_value(fields, "Entry Validation"), field_value(fields, "Stay Duration")
     read = F.struct(entry.alias("entry"), stay_days(stay).alias("days"), stay_limit(entry).alias("most"))
     message = lambda r: F.concat(
         F.lit("Requested stay of "), r["days"].cast("string"), F.lit(" days exceeds the typical maximum of "), r["most"].cast("string"),
         F.lit(" days for a '"), r["entry"], F.lit("' entry visa."),
     )
-    return let(read, lambda r: issues(((document_type(kind) == "visa") & (r["days"] > r["most"]), issue("Stay Duration", "error", message(r)))))
+    return let(read, lambda r: issues(((key == "visa") & (r["days"] > r["most"]), issue("Stay Duration", "error", message(r)))))
 
 
 def status_of(found: Column) -> Column:
@@ -131,13 +141,13 @@ def validate(fields: Column, kind: Column, as_of: datetime.date, dates: tuple[Co
 
     Dates in known forms are read here; for others, see validated.
     """
-    return let(fields, lambda f: _validate(f, kind, as_of, dates))
+    return let(_with_key(fields, kind), lambda r: _validate(r["f"], r["k"], r["kind"], as_of, dates))
 
 
-def _validate(fields: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
+def _validate(fields: Column, key: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
     note_only = (F.size(fields) == 1) & F.map_contains_key(fields, F.lit("note"))
     note = F.array(issue("_document_type", "warning", F.try_element_at(fields, F.lit("note"))))
-    checks = F.concat(required_fields(fields, kind), number_format(fields, kind), date_logic(fields, as_of, dates), cross_fields(fields, kind))
+    checks = F.concat(_required(fields, key), _number_format(fields, key, kind), _date_logic(fields, as_of, dates), _cross_fields(fields, key))
     found = F.when(note_only, note).otherwise(checks)
     return let(found, lambda f: F.struct(kind.alias("document_type"), status_of(f).alias("status"), f.alias("issues")))
 

@@ -40,6 +40,8 @@ def screen(documents: DataFrame, known: DataFrame, config: Config) -> DataFrame:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = validate.validated(rows, config.as_of, config.fuzzy_dates)
     rows = rows.withColumn("document_number", registry.document_number(F.col("fields"), F.col("document_type")))
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        rows = rows.checkpoint()  # the lookup uses the rows twice; extraction need not run or be planned again
     rows = registry.lookup(rows, known, "document_number", config.contained_numbers)
     if config.cross_check:
         rows = rows.withColumn("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"))))
