@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import id_order, new_folder, written
+from papyra.llm.common import LAST_ID, id_order, new_folder, written
 
 #: Compressed bytes after which a file is full, and bytes of payload that a shard holds, about.
 ROLL = 64 << 20
@@ -107,6 +107,7 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
     Keys are counted in bins of equal width; bins that hold more than a shard are counted again in finer bins, so
     what comes to the driver is bounded by the bins and the shards.
     """
+    sizes = sizes.where(F.col("key") < LAST_ID)  # rows without an id follow in the last shard
     whole = sizes.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("size").alias("bytes")).first()
     if whole["low"] is None:
         return []
