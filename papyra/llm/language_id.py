@@ -177,6 +177,8 @@ class Models:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability (all languages alike beforehand) of each text."""
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         found = [words_of(t) for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
@@ -188,7 +190,7 @@ class Models:
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
         langs, scores = [], []
         for words in found:
-            if not words or not self.langs:
+            if not words:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
