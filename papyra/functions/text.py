@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from itertools import chain
 
 import pandas as pd
@@ -23,6 +24,23 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+class Steps:
+    """let() over a table: a value is a column of its own, computed once and in compiled code, not inside an expression."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.columns, self.mark = df, df.columns, uuid.uuid4().hex[:8]
+
+    def __call__(self, value: Column, f) -> Column:
+        name = f"__{self.mark}_{len(self.df.columns)}"
+        self.df = self.df.withColumn(name, value)
+        return f(F.col(name))
+
+    def ended(self, name: str, value: Column) -> DataFrame:
+        """The table with value in a column, which takes the place of one of that name, and without the steps."""
+        kept = [c for c in self.columns if c != name]
+        return self.df.select(*(F.col(f"`{c}`") for c in kept), value.alias(name))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 

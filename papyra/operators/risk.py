@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import clamp, let, literal_map, strip, to_int
+from papyra.functions.text import Steps, clamp, let, literal_map, strip, to_int
 from papyra.schema import BANDS, FACTOR, RISK_LABELS, RISK_WEIGHTS, STATUS_RISK
 
 # Texts that results carry.
@@ -97,11 +97,23 @@ def risk(status: Column, errors: Column, warnings: Column, registry_status: Colu
     Signals that are null are left out and the weights of the others scaled up; no signal at all is 50, MEDIUM. Then
     floors: blacklisted 80; similarity under 50, 65; tampering of 30 or more with a failed validation, 55.
     """
-    inputs = {"status": status, "errors": errors, "warnings": warnings, "registry": registry_status, "tampering": tampering, "face": similarity}
-    return let(F.struct(*(c.alias(k) for k, c in inputs.items())), lambda i: _signals(*(i[k] for k in inputs), weights or RISK_WEIGHTS))
+    return _risk(let, (status, errors, warnings, registry_status, tampering, similarity), weights or RISK_WEIGHTS)
 
 
-def _signals(status: Column, errors: Column, warnings: Column, registry_status: Column, tampering: Column, similarity: Column, weights: dict[str, float]) -> Column:
+def with_risk(
+    df: DataFrame, name: str, status: Column, errors: Column, warnings: Column, registry_status: Column, tampering: Column, similarity: Column, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """df with risk() in a column; steps are columns of their own, which compile, where risk() is one interpreted expression."""
+    steps = Steps(df)
+    return steps.ended(name, _risk(steps, (status, errors, warnings, registry_status, tampering, similarity), weights or RISK_WEIGHTS))
+
+
+def _risk(bind, inputs: tuple[Column, ...], weights: dict[str, float]) -> Column:
+    names = [f"i{n}" for n in range(len(inputs))]
+    return bind(F.struct(*(c.alias(n) for n, c in zip(names, inputs, strict=True))), lambda i: _signals(bind, *(i[n] for n in names), weights))
+
+
+def _signals(bind, status: Column, errors: Column, warnings: Column, registry_status: Column, tampering: Column, similarity: Column, weights: dict[str, float]) -> Column:
     signals = {
         "validation": validation_risk(status, errors, warnings),
         "db_status": registry_risk(registry_status),
@@ -114,10 +126,10 @@ def _signals(status: Column, errors: Column, warnings: Column, registry_status:
         55: (tampering != 0) & (tampering >= 30) & (status == "fail"),
     }
     least = F.coalesce(F.greatest(*(F.when(c, F.lit(v)).otherwise(0) for v, c in floors.items())), F.lit(0))
-    return let(F.struct(*(s.alias(k) for k, s in signals.items()), least.alias("least")), lambda s: _weigh(s, weights))
+    return bind(F.struct(*(s.alias(k) for k, s in signals.items()), least.alias("least")), lambda s: _weigh(bind, s, weights))
 
 
-def _weigh(s: Column, weights: dict[str, float]) -> Column:
+def _weigh(bind, s: Column, weights: dict[str, float]) -> Column:
     """From the signals to their shares and the score, weights added in the signals' order."""
     own = {k: F.when(s[k].isNotNull(), F.lit(float(weights.get(k, 0.0)))).otherwise(F.lit(0.0)) for k in RISK_LABELS}
     total = F.lit(0.0)
@@ -126,12 +138,12 @@ def _weigh(s: Column, weights: dict[str, float]) -> Column:
 
     def shares(total: Column) -> Column:
         used = F.struct(*((w / F.when(total == 0, 1.0).otherwise(total)).alias(k) for k, w in own.items()))
-        return let(used, lambda u: _score(s, u))
+        return bind(used, lambda u: _score(bind, s, u))
 
-    return let(total, shares)
+    return bind(total, shares)
 
 
-def _score(s: Column, used: Column) -> Column:
+def _score(bind, s: Column, used: Column) -> Column:
     weighted = F.lit(0.0)
     for k in RISK_LABELS:
         weighted = weighted + F.coalesce(s[k]["score"] * used[k], F.lit(0.0))
@@ -149,28 +161,32 @@ def _score(s: Column, used: Column) -> Column:
         return F.when(s[k].isNotNull(), row)
 
     names = ("factor", "raw_score", "weight", "weighted_score", "detail")
-    rows = F.array_sort(F.array_compact(F.array(*(one(i, k) for i, k in enumerate(RISK_LABELS)))))
-    factors = F.transform(rows, lambda r: F.struct(*(r[n].alias(n) for n in names))).cast(f"array<{FACTOR}>")
+    rows = F.array(*(one(i, k) for i, k in enumerate(RISK_LABELS)))
     excluded = F.array_compact(F.array(*(F.when(s[k].isNull(), F.lit(k)) for k in RISK_LABELS)))
     kept = F.map_filter(F.create_map(*(x for k in RISK_LABELS for x in (F.lit(k), F.when(s[k].isNotNull(), F.bround(used[k], 3))))), lambda k, v: v.isNotNull())
     step = F.struct(
         none.alias("none"), plain.alias("plain"), F.when(none, F.lit(50)).otherwise(F.greatest(plain, s["least"])).alias("score"),
-        factors.alias("factors"), excluded.alias("excluded"), kept.alias("kept"),
+        rows.alias("rows"), excluded.alias("excluded"), kept.alias("kept"),
     )
-    return let(step, _explained)
+
+    def ranked(r: Column) -> Column:
+        factors = F.transform(F.sort_array(F.array_compact(r["rows"])), lambda x: F.struct(*(x[n].alias(n) for n in names))).cast(f"array<{FACTOR}>")
+        return bind(factors, lambda f: _explained(r, f))
+
+    return bind(step, ranked)
 
 
-def _explained(r: Column) -> Column:
+def _explained(r: Column, factors: Column) -> Column:
     level = F.when(r["none"], "MEDIUM").otherwise(band(r["score"]))
     labels = F.array_join(F.transform(r["excluded"], lambda k: F.element_at(literal_map(RISK_LABELS), k)), ", ")
     said = F.concat(
-        recommendation(level, r["factors"]),
+        recommendation(level, factors),
         F.when(~r["none"] & (r["score"] > r["plain"]), FLOORED).otherwise(""),
         F.when(F.size(r["excluded"]) > 0, F.concat(F.lit(" (No data for: "), labels, F.lit(" — excluded from scoring.)"))).otherwise(""),
     )
     return F.struct(
         r["score"].alias("risk_score"), level.alias("risk_band"), F.when(r["none"], NO_DATA).otherwise(said).alias("explanation"),
-        r["factors"].alias("contributing_factors"), r["excluded"].alias("excluded_factors"), r["kept"].alias("weights_used"),
+        factors.alias("contributing_factors"), r["excluded"].alias("excluded_factors"), r["kept"].alias("weights_used"),
     )
 
 

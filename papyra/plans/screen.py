@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import let
 from papyra.operators import extract, ledger, registry, risk, validate
 from papyra.schema import RISK_WEIGHTS
 
@@ -46,8 +45,7 @@ def screen(documents: DataFrame, known: DataFrame, config: Config) -> DataFrame:
     if config.cross_check:
         rows = rows.withColumn("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"))))
     tampering, face = F.col("tampering.tampering_score").cast("double"), F.col("face_match.similarity_score")
-    scored = let(F.col("validation"), lambda v: risk.risk(*risk.of_validation(v), F.col("registry_status"), tampering, face, config.weights))
-    return rows.withColumn("risk", scored)
+    return risk.with_risk(rows, "risk", *risk.of_validation(F.col("validation")), F.col("registry_status"), tampering, face, config.weights)
 
 
 def ledger_entries(results: DataFrame, timestamp: str, order: str, prev_hash: str | None = None, start: int = 0) -> DataFrame:

@@ -152,6 +152,14 @@ def scores(spark, *rows, weights=None):
     return [r.r for r in df.select("i", risk.risk(*(F.col(x.split()[0]) for x in SIGNALS.split(", ")), weights=weights).alias("r")).orderBy("i").collect()]
 
 
+def test_risk_as_columns_is_the_same(spark):
+    rows = [("warning", 0, 3, "Expired", 10.0, 72.5), (None,) * 6, ("pass", 0, 0, "Blacklisted", 0.0, None), ("fail", 9, 2, "Lost", 45.0, 20.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {SIGNALS}")
+    found = risk.with_risk(df, "r", *(F.col(x.split()[0]) for x in SIGNALS.split(", ")))
+    assert found.columns == [*df.columns, "r"] and [x.r for x in found.orderBy("i").collect()] == scores(spark, *rows)
+    assert risk.with_risk(df, "status", *(F.col(x.split()[0]) for x in SIGNALS.split(", "))).columns == [*df.columns[:1], *df.columns[2:], "status"]
+
+
 def test_risk_rules(spark):
     usual = ("warning", 0, 3, "Expired", 10.0, 72.5)
     r = scores(
