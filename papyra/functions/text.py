@@ -19,21 +19,25 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 LONG_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with value computed once, however often f uses it; keeps expressions of several steps small."""
+def let(value: Column | dict[str, Column], f) -> Column:
+    """f(value) with value computed once, however often f uses it; keeps expressions of several steps small. A dict is a struct."""
+    if isinstance(value, dict):
+        value = F.struct(*(v.alias(k) for k, v in value.items()))
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 class Steps:
-    """let() over a table: a value is a column of its own, computed once and in compiled code, not inside an expression."""
+    """let() over a table: a value is a column of its own, computed once and in compiled code, and not at all if nothing uses it."""
 
     def __init__(self, df: DataFrame):
         self.df, self.columns, self.mark = df, df.columns, uuid.uuid4().hex[:8]
 
-    def __call__(self, value: Column, f) -> Column:
-        name = f"__{self.mark}_{len(self.df.columns)}"
-        self.df = self.df.withColumn(name, value)
-        return f(F.col(name))
+    def __call__(self, value: Column | dict[str, Column], f) -> Column:
+        values = value if isinstance(value, dict) else {"": value}
+        names = {k: f"__{self.mark}_{len(self.df.columns) + i}" for i, k in enumerate(values)}
+        self.df = self.df.withColumns({names[k]: v for k, v in values.items()})
+        own = {k: F.col(n) for k, n in names.items()}
+        return f(own if isinstance(value, dict) else own[""])
 
     def ended(self, name: str, value: Column) -> DataFrame:
         """The table with value in a column, which takes the place of one of that name, and without the steps."""

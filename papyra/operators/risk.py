@@ -26,11 +26,12 @@ FLOORED = " Score floored due to a registry blacklist hit, which overrides the w
 NO_DATA = "Insufficient data to compute a reliable risk score — treat as medium risk pending manual review."
 
 
-def _signal(score: Column, detail: Column, present: Column) -> Column:
-    return F.when(present, F.struct(score.cast("double").alias("score"), detail.alias("detail")))
+def _signal(score: Column, detail: Column, present: Column) -> tuple[Column, Column]:
+    """Score and detail, both null for a signal that isn't there; apart, so that details cost nothing where none are asked for."""
+    return F.when(present, score.cast("double")), F.when(present, detail)
 
 
-def validation_risk(status: Column, errors: Column, warnings: Column) -> Column:
+def validation_risk(status: Column, errors: Column, warnings: Column) -> tuple[Column, Column]:
     """score and detail from a validation's status and its numbers of errors and warnings; null without a status."""
     score = (
         F.when(status == "pass", 0.0)
@@ -47,13 +48,13 @@ def validation_risk(status: Column, errors: Column, warnings: Column) -> Column:
     return _signal(score, detail, status.isNotNull())
 
 
-def registry_risk(status: Column) -> Column:
+def registry_risk(status: Column) -> tuple[Column, Column]:
     key = F.lower(strip(status))
     detail = F.coalesce(F.try_element_at(literal_map(STATUS_DETAIL), key), F.concat(F.lit("Unrecognized registry status '"), status, F.lit("'.")))
     return _signal(F.coalesce(F.try_element_at(literal_map(STATUS_RISK), key), F.lit(50.0)), detail, status != "")
 
 
-def tampering_risk(score: Column) -> Column:
+def tampering_risk(score: Column) -> tuple[Column, Column]:
     risk = clamp(score.cast("double"))
     detail = (
         F.when(risk < 30, "No significant signs of tampering detected.")
@@ -63,7 +64,7 @@ def tampering_risk(score: Column) -> Column:
     return _signal(risk, detail, score.isNotNull())
 
 
-def face_risk(similarity: Column) -> Column:
+def face_risk(similarity: Column) -> tuple[Column, Column]:
     like = clamp(similarity.cast("double"))
     shown = F.format_string("%.0f", F.bround(like))
     detail = (
@@ -110,7 +111,7 @@ def with_risk(
 
 def _risk(bind, inputs: tuple[Column, ...], weights: dict[str, float]) -> Column:
     names = [f"i{n}" for n in range(len(inputs))]
-    return bind(F.struct(*(c.alias(n) for n, c in zip(names, inputs, strict=True))), lambda i: _signals(bind, *(i[n] for n in names), weights))
+    return bind(dict(zip(names, inputs, strict=True)), lambda i: _signals(bind, *(i[n] for n in names), weights))
 
 
 def _signals(bind, status: Column, errors: Column, warnings: Column, registry_status: Column, tampering: Column, similarity: Column, weights: dict[str, float]) -> Column:
@@ -126,10 +127,11 @@ def _signals(bind, status: Column, errors: Column, warnings: Column, registry_st
         55: (tampering != 0) & (tampering >= 30) & (status == "fail"),
     }
     least = F.coalesce(F.greatest(*(F.when(c, F.lit(v)).otherwise(0) for v, c in floors.items())), F.lit(0))
-    return bind(F.struct(*(s.alias(k) for k, s in signals.items()), least.alias("least")), lambda s: _weigh(bind, s, weights))
+    parts = {k: v[0] for k, v in signals.items()} | {f"{k}_detail": v[1] for k, v in signals.items()}
+    return bind(parts | {"least": least}, lambda s: _weigh(bind, s, weights))
 
 
-def _weigh(bind, s: Column, weights: dict[str, float]) -> Column:
+def _weigh(bind, s, weights: dict[str, float]) -> Column:
     """From the signals to their shares and the score, weights added in the signals' order."""
     own = {k: F.when(s[k].isNotNull(), F.lit(float(weights.get(k, 0.0)))).otherwise(F.lit(0.0)) for k in RISK_LABELS}
     total = F.lit(0.0)
@@ -137,26 +139,26 @@ def _weigh(bind, s: Column, weights: dict[str, float]) -> Column:
         total = total + w
 
     def shares(total: Column) -> Column:
-        used = F.struct(*((w / F.when(total == 0, 1.0).otherwise(total)).alias(k) for k, w in own.items()))
+        used = {k: w / F.when(total == 0, 1.0).otherwise(total) for k, w in own.items()}
         return bind(used, lambda u: _score(bind, s, u))
 
     return bind(total, shares)
 
 
-def _score(bind, s: Column, used: Column) -> Column:
+def _score(bind, s, used) -> Column:
     weighted = F.lit(0.0)
     for k in RISK_LABELS:
-        weighted = weighted + F.coalesce(s[k]["score"] * used[k], F.lit(0.0))
+        weighted = weighted + F.coalesce(s[k] * used[k], F.lit(0.0))
     none = F.lit(True)
     for k in RISK_LABELS:
         none = none & s[k].isNull()
     plain = to_int(clamp(weighted))
 
     def one(i: int, k: str) -> Column:
-        part = s[k]["score"] * used[k]
+        part = s[k] * used[k]
         row = F.struct(
-            (-F.bround(part, 1)).alias("down"), F.lit(i).alias("nth"), F.lit(RISK_LABELS[k]).alias("factor"), F.bround(s[k]["score"], 1).alias("raw_score"),
-            F.bround(used[k], 3).alias("weight"), F.bround(part, 1).alias("weighted_score"), s[k]["detail"].alias("detail"),
+            (-F.bround(part, 1)).alias("down"), F.lit(i).alias("nth"), F.lit(RISK_LABELS[k]).alias("factor"), F.bround(s[k], 1).alias("raw_score"),
+            F.bround(used[k], 3).alias("weight"), F.bround(part, 1).alias("weighted_score"), s[f"{k}_detail"].alias("detail"),
         )
         return F.when(s[k].isNotNull(), row)
 
@@ -164,28 +166,26 @@ def _score(bind, s: Column, used: Column) -> Column:
     rows = F.array(*(one(i, k) for i, k in enumerate(RISK_LABELS)))
     excluded = F.array_compact(F.array(*(F.when(s[k].isNull(), F.lit(k)) for k in RISK_LABELS)))
     kept = F.map_filter(F.create_map(*(x for k in RISK_LABELS for x in (F.lit(k), F.when(s[k].isNotNull(), F.bround(used[k], 3))))), lambda k, v: v.isNotNull())
-    step = F.struct(
-        none.alias("none"), plain.alias("plain"), F.when(none, F.lit(50)).otherwise(F.greatest(plain, s["least"])).alias("score"),
-        rows.alias("rows"), excluded.alias("excluded"), kept.alias("kept"),
-    )
+    step = {"none": none, "plain": plain, "least": s["least"], "rows": rows, "excluded": excluded, "kept": kept}
 
-    def ranked(r: Column) -> Column:
+    def ranked(r) -> Column:
         factors = F.transform(F.sort_array(F.array_compact(r["rows"])), lambda x: F.struct(*(x[n].alias(n) for n in names))).cast(f"array<{FACTOR}>")
-        return bind(factors, lambda f: _explained(r, f))
+        score = F.when(r["none"], F.lit(50)).otherwise(F.greatest(r["plain"], r["least"]))
+        return bind({"factors": factors, "score": score}, lambda x: _explained(r, x["score"], x["factors"]))
 
     return bind(step, ranked)
 
 
-def _explained(r: Column, factors: Column) -> Column:
-    level = F.when(r["none"], "MEDIUM").otherwise(band(r["score"]))
+def _explained(r, score: Column, factors: Column) -> Column:
+    level = F.when(r["none"], "MEDIUM").otherwise(band(score))
     labels = F.array_join(F.transform(r["excluded"], lambda k: F.element_at(literal_map(RISK_LABELS), k)), ", ")
     said = F.concat(
         recommendation(level, factors),
-        F.when(~r["none"] & (r["score"] > r["plain"]), FLOORED).otherwise(""),
+        F.when(~r["none"] & (score > r["plain"]), FLOORED).otherwise(""),
         F.when(F.size(r["excluded"]) > 0, F.concat(F.lit(" (No data for: "), labels, F.lit(" — excluded from scoring.)"))).otherwise(""),
     )
     return F.struct(
-        r["score"].alias("risk_score"), level.alias("risk_band"), F.when(r["none"], NO_DATA).otherwise(said).alias("explanation"),
+        score.alias("risk_score"), level.alias("risk_band"), F.when(r["none"], NO_DATA).otherwise(said).alias("explanation"),
         factors.alias("contributing_factors"), r["excluded"].alias("excluded_factors"), r["kept"].alias("weights_used"),
     )
 
