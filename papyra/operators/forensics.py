@@ -31,7 +31,7 @@ def photo_substitution(ela_ratio: Column, noise_ratio: Column) -> Column:
 
 
 def font_consistency(deviation: Column, median_height: Column, outliers: Column, glyphs: Column) -> Column:
-    """From the largest baseline deviation, the median glyph height and the outliers among the glyphs (fewer than 6: 0)."""
+    """From the mean baseline deviation, the median glyph height and the outliers among the glyphs (fewer than 6: 0)."""
     drift = F.least(F.lit(1.0), deviation / (0.5 * median_height))
     share = F.least(F.lit(1.0), 5.0 * outliers / glyphs)
     return detector(F.when(glyphs >= 6, F.bround(0.6 * drift + 0.4 * share, 3)).otherwise(0.0))
