@@ -194,11 +194,13 @@ def labelled_fields(text: Column, kind: Column) -> Column:
 
 def word_confidence(value: Column, boxes: Column, otherwise: Column) -> Column:
     """Mean confidence of the words of value among the boxes; otherwise if none of them is there."""
-    tokens = F.regexp_extract_all(F.upper(value), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    bare = lambda b: F.upper(F.regexp_replace(F.coalesce(b["text"], F.lit("")), "[^A-Za-z0-9]", ""))
-    own = F.filter(boxes, lambda b: (bare(b) != "") & F.array_contains(tokens, bare(b)) & b["confidence"].isNotNull())
-    total = F.aggregate(own, F.lit(0.0), lambda s, b: s + b["confidence"])
-    return F.when(F.size(own) > 0, total / F.size(own)).otherwise(otherwise)
+    bare = lambda b: F.upper(F.regexp_replace(b["text"], "[^A-Za-z0-9]", ""))
+
+    def mean(tokens):  # no token is empty, so boxes without letters and digits are never among them
+        own = F.filter(boxes, lambda b: b["confidence"].isNotNull() & F.array_contains(tokens, bare(b)))
+        return let(own, lambda o: F.when(F.size(o) > 0, F.aggregate(o, F.lit(0.0), lambda s, b: s + b["confidence"]) / F.size(o)).otherwise(otherwise))
+
+    return let(F.regexp_extract_all(F.upper(value), F.lit("[A-Za-z0-9]+"), F.lit(0)), mean)
 
 
 def field_confidence(value: Column, strength: Column, boxes: Column, ocr: Column) -> Column:

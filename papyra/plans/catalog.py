@@ -411,10 +411,10 @@ m AS (SELECT doc_id, avg(sure) FILTER (WHERE bare <> '' AND list_contains(regexp
 SELECT doc_id, round_even(coalesce(mean, 0.5::DOUBLE) * 100, 6) AS sure FROM m
 """)
 def token_confidence(spark, d):
-    """T13 on the leading words of documents as boxes (the feature takes a field's few words)."""
-    words = F.slice(F.filter(F.split(F.replace("text", F.lit("ß"), F.lit("s")), r"[\t\n\f\r ]+"), lambda x: x != ""), 1, 40)
+    """T13 with all words of a document as boxes, for its first two as the value."""
+    words = F.filter(F.split(F.replace("text", F.lit("ß"), F.lit("s")), r"[\t\n\f\r ]+"), lambda x: x != "")
     boxes = F.transform("words", lambda w, i: F.struct(w.alias("text"), F.when((i + 1) % 5 != 0, ((i + 1) * 7 % 100) / F.lit(100.0)).alias("confidence")))
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", words.alias("words")).where(F.size("words") > 2)
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", words.alias("words"))
     sure = extract.word_confidence(F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1))), boxes, F.lit(0.5))
     return rows.select("doc_id", F.bround(sure * 100, 6).alias("sure"))
 
