@@ -239,13 +239,18 @@ def _links(sets: DataFrame) -> DataFrame:
 
 
 def similar_documents(listing: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk, nth, id, no_id, n_grams and component (smallest id) of every row in the listing's chunks."""
+    """chunk, nth, id, no_id, n_grams, component (smallest id) and group of every row in the listing's chunks.
+
+    Two components may have the same smallest id, if rows repeat an id or have none; group tells them apart.
+    """
     sets = _sets(listing, id_col, text_col)
     docs = sets.where("fragment is null").select("chunk", "nth", "id", "no_id", "n", "least", "node")
     label = _links(sets)
     least = sets.where("fragment = -1").select("node", "least").join(label, "node").groupBy("component").agg(F.min("least").alias("smallest"))
-    final = written(label.join(least, "component").select("node", "smallest"), "components")
-    return docs.join(final, "node", "left").select("chunk", "nth", "id", "no_id", F.col("n").alias("n_grams"), F.coalesce("smallest", "least").alias("component"))
+    final = written(label.join(least, "component").select("node", F.col("component").alias("linked"), "smallest"), "components")
+    return docs.join(final, "node", "left").select(
+        "chunk", "nth", "id", "no_id", F.col("n").alias("n_grams"), F.coalesce("smallest", "least").alias("component"), F.coalesce("linked", "node").alias("group")
+    )
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,12 +274,13 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, one for each component: the one with the smallest id, of rows that repeat it the first written.
 
-    Rows without words are all kept. The rows stay in their chunk files; what moves is their places.
+    Rows without words are all kept, and so are rows that no link joins, whether they repeat an id or have none. The
+    rows stay in their chunk files; what moves is their places.
     """
     listing = write_chunks(df, text_col)
     rows = similar_documents(listing, id_col, text_col)
     place = F.struct("id", "chunk", "nth")
-    linked = rows.where("n_grams > 0").groupBy("component").agg(F.min(place).alias("place")).select("place.*")
+    linked = rows.where("n_grams > 0").groupBy("group").agg(F.min(place).alias("place")).select("place.*")
     kept = linked.unionAll(rows.where("n_grams = 0").select("id", "chunk", "nth"))
     mail = kept.groupBy("chunk").agg(F.array_sort(F.collect_list("nth")).alias("nths")).select("chunk", F.lit(0).alias("bucket"), F.array_join("nths", ",").cast("binary").alias("data"))
 
