@@ -1,6 +1,6 @@
 """Near-duplicate vectors by cosine, exactly, with a subspace pigeonhole join.
 
-Unit vectors are rotated and split into blocks. Two vectors whose squared distance is at most D are, in at least
+Unit vectors of one size are rotated and split into blocks. Two vectors whose squared distance is at most D are, in at least
 one of B blocks, no farther than D / B apart, so a range join in each low-dimensional block finds every such
 pair: each vector lies at home in one cell of a grid and visits the cells that its range touches. The union of
 the candidates is verified on the whole vectors.
@@ -8,6 +8,7 @@ the candidates is verified on the whole vectors.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -26,50 +27,53 @@ SEED = 7
 SLACK = 1e-6
 
 
+@lru_cache(4)
 def rotation(size: int) -> np.ndarray:
     """A fixed random rotation: it spreads what vectors differ in over all blocks."""
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
 
 
-def _usable(size: int) -> Column:
-    """Not null, of the common size, without null or non-finite components, and not zero."""
+def _usable() -> Column:
+    """Not null, without null or non-finite components, and not zero."""
     e = F.col("v")
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(e) == size) & good & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    return F.coalesce(good & (F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
 
 
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """node, label, block and p, the coordinates in the block: a row a vector and block."""
-    turn = rotation(size)
-    blocks = [list(range(i, min(i + BLOCK, size))) for i in range(0, size, BLOCK)]
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """node, label, dims, block and p, the coordinates in the block: a row a vector and block."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, size)
-            unit = flat / np.sqrt((flat * flat).sum(axis=1))[:, None] @ turn
-            for b, columns in enumerate(blocks):
-                p = np.zeros((batch.num_rows, BLOCK))
-                p[:, : len(columns)] = unit[:, columns]
-                coordinates = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), BLOCK).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(batch.num_rows, b), pa.int32()), coordinates], names=["node", "label", "block", "p"])
-
-    return vectors.select("node", "label", "v").mapInArrow(run, "node long, label string, block int, p array<double>")
+            dims = batch.column(2).to_numpy()
+            for size in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == size))
+                turn = rotation(size)
+                flat = np.asarray(own.column(3).flatten(), dtype=np.float64).reshape(own.num_rows, size)
+                unit = flat / np.sqrt((flat * flat).sum(axis=1))[:, None] @ turn
+                for b, at in enumerate(range(0, size, BLOCK)):
+                    p = np.zeros((own.num_rows, BLOCK))
+                    p[:, : min(BLOCK, size - at)] = unit[:, at : at + BLOCK]
+                    coordinates = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), BLOCK).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns[:3], pa.array(np.full(own.num_rows, b), pa.int32()), coordinates], names=["node", "label", "dims", "block", "p"]
+                    )
+
+    return vectors.select("node", "label", "dims", "v").mapInArrow(run, "node long, label string, dims int, block int, p array<double>")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of df: id_col, n_links, component_id, kept.
 
-    Rows link when their labels are equal and not null and the cosine, in double precision, is at least threshold.
-    Vectors that are null, zero, of another size than the table's longest, or hold null or non-finite components link with nothing.
+    Rows link when their labels are equal and not null, their vectors are of one size, and the cosine, in double precision, is
+    at least threshold. Vectors that are null, zero, or hold null or non-finite components link with nothing.
     Rows with equal vectors, labels and ids are one vector for this; a null id is the largest, and null in
     component_id unless a link leads to a smaller one. kept: the row's id is the component's smallest. Other columns are ignored.
 
@@ -80,36 +84,32 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(
         id_order(id_col).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(T.ArrayType(T.DoubleType())).alias("v")
     )
-    size = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
-    if size <= 0:
-        return rows.select(
-            F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col), F.lit(0).cast("long").alias("n_links"),
-            F.when(~F.col("no_id"), F.col("id")).alias("component_id"), F.lit(True).alias("kept"),
-        )
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    rows = rows.withColumn("usable", _usable(size) & F.col("label").isNotNull())
+    rows = rows.withColumn("usable", _usable() & F.col("label").isNotNull())
     # -0.0 and 0.0 are equal numbers; a class is named by a hash of label and vector
     name = F.when(F.col("usable"), F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0))))
     rows = written(rows.withColumn("node", name), "vectors")
     usable = rows.where("usable")
     classes = written(
-        usable.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.first("norm").alias("norm"), F.countDistinct("id").alias("size"), F.min("id").alias("least")), "classes"
+        usable.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.first(F.size("v")).alias("dims"), F.first("norm").alias("norm"), F.countDistinct("id").alias("size"), F.min("id").alias("least")), "classes"
     )
 
-    budget = (2 - 2 * threshold) / -(-size // BLOCK) + SLACK
-    reach = float(np.sqrt(budget))
+    # a size that one class alone has can't link, so it needs no rotation
+    sizes = [r["dims"] for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()]
+    budget = F.lit(2 - 2 * threshold) / F.ceil(F.col("dims") / F.lit(BLOCK)) + F.lit(SLACK)
+    reach = F.sqrt(budget)
     width = 2 * reach
-    points = written(_blocks(classes, size), "blocks")
+    points = written(_blocks(classes.where(F.col("dims").isin(sizes))), "blocks")
     cell = lambda i, shift: F.floor((F.col("p")[i] + shift) / width).cast("int")
-    home = points.select("label", "block", "node", "p", F.array(*(cell(i, 0.0) for i in range(BLOCK))).alias("cell"))
+    home = points.select("label", "dims", "block", "node", "p", F.array(*(cell(i, F.lit(0.0)) for i in range(BLOCK))).alias("cell"))
     # a point visits every cell that its range touches: in each dimension, one or two
     sides = [F.array_distinct(F.array(cell(i, -reach), cell(i, reach))) for i in range(BLOCK)]
     touched = F.array(*(F.array(*(F.element_at(f"s{i}", F.least(F.lit(k[i] + 1), F.size(f"s{i}"))) for i in range(BLOCK))) for k in product((0, 1), repeat=BLOCK)))
-    visits = points.select("label", "block", "node", "p", *(s.alias(f"s{i}") for i, s in enumerate(sides))).select(
-        "label", "block", F.col("node").alias("other"), F.col("p").alias("q"), F.explode(F.array_distinct(touched)).alias("cell")
+    visits = points.select("label", "dims", "block", "node", "p", *(s.alias(f"s{i}") for i, s in enumerate(sides))).select(
+        "label", "dims", "block", F.col("node").alias("other"), F.col("p").alias("q"), F.explode(F.array_distinct(touched)).alias("cell")
     )
     square = sum(((F.col("p")[i] - F.col("q")[i]) * (F.col("p")[i] - F.col("q")[i]) for i in range(BLOCK)), F.lit(0.0))
-    pairs = home.join(visits, ["label", "block", "cell"]).where((F.col("node") < F.col("other")) & (square <= budget)).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = home.join(visits, ["label", "dims", "block", "cell"]).where((F.col("node") < F.col("other")) & (square <= budget)).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
     left = classes.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("size").alias("size_a"))
     right = classes.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("size").alias("size_b"))
