@@ -13,7 +13,7 @@ from papyra.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a letter, or in no one language, go."""
+    """Documents that have a language; those without a letter, or with letters that no learnt language knows, go."""
     return language_id.only_identified(docs, language_id.train(docs))
 
 

@@ -175,11 +175,8 @@ class Models:
                 beta[end - 1, rows] += UNKNOWN * beta[end, rows] * np.exp(np.clip(left[end, rows] - back, -700, 700))[:, None]
         return total
 
-    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and posterior probability (all languages alike beforehand) of each text."""
-        if not self.langs:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        found = [words_of(t) for t in texts]
+    def _totals(self, found: list[list[str]]) -> Iterator[np.ndarray | None]:
+        """The logarithm of each text's probability by language, or None for a text without words."""
         if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
@@ -188,18 +185,32 @@ class Models:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[len(known) : len(known) + len(fresh)] = self.score(fresh)
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        langs, scores = [], []
         for words in found:
-            if not words:
+            yield self.rows[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) if words else None
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and posterior probability (all languages alike beforehand) of each text."""
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        langs, scores = [], []
+        for total in self._totals([words_of(t) for t in texts]):
+            if total is None:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            total = self.rows[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
             best = int(total.argmax())
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
         return langs, scores
 
+    def identified(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text has letters and, if anything was learnt, a language that knows them: one in which the text is
+        at least as probable as it would be if no piece covered any of its letters."""
+        found = [words_of(t) for t in texts]
+        if not self.langs:
+            return [bool(words) for words in found]
+        return [total is not None and bool(total.max() >= np.log(UNKNOWN) * sum(map(len, words))) for words, total in zip(found, self._totals(found), strict=True)]
+
 
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0. A null id is never trained on."""
@@ -262,6 +273,14 @@ def train(
 _made: dict[str, Models] = {}
 
 
+def _models(name: str, sent) -> Models:
+    """The broadcast model; a worker keeps its table of words from task to task."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Models(*sent.value)
+    return _made[name]
+
+
 def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """df with lang_pred and score; text_col stays. One pass, no shuffle.
 
@@ -274,10 +293,7 @@ def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text
     at = keep.index(text_col)
 
     def run(batches):
-        if name not in _made:  # a worker keeps its table of words from task to task
-            _made.clear()
-            _made[name] = Models(*sent.value)
-        models = _made[name]
+        models = _models(name, sent)
         for batch in batches:
             for start in range(0, max(1, batch.num_rows), STEP):
                 part = batch.slice(start, STEP)
@@ -290,8 +306,19 @@ def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text
     return df.select(*(f"`{c}`" for c in keep)).mapInArrow(run, f"{kept}lang_pred string, score double")
 
 
-def only_identified(df: DataFrame, model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """df without the rows that have no language, or none with a posterior of at least least; its columns stay."""
+def only_identified(df: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """df without the rows that have no letter, or whose letters no learnt language knows; its columns stay.
+
+    A text that several languages fit stays, however close they are; if nothing was learnt, every text with a letter stays.
+    """
     own = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # whatever df's columns are called
-    good = identify(own, model, f"c{df.columns.index(text_col)}").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return good.select(*own.columns).toDF(*df.columns)
+    sent, name, at = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, df.columns.index(text_col)
+
+    def run(batches):
+        models = _models(name, sent)
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                yield part.filter(pa.array(models.identified(part.column(at).to_pylist()), pa.bool_()))
+
+    return own.mapInArrow(run, own.schema).toDF(*df.columns)
