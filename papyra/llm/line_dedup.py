@@ -1,7 +1,7 @@
 """Removal of passages of three or more lines that occurred before, in DataFrame operations only.
 
 Every window of three consecutive lines is hashed. Windows found more than once anywhere keep their first
-occurrence, by document id and then by position; the lines of every later occurrence are marked, marks that
+occurrence, by document id, text and then by position; the lines of every later occurrence are marked, marks that
 overlap merge, and the marked lines go.
 """
 
@@ -40,9 +40,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
     Lines end at ``\\n``; blank lines equal one another, and windows of blank lines alone are never repeats. Texts
     of fewer than three lines stay as they are, a null text stays null. Occurrences in a document with a smaller
-    id, or earlier in the same one, come first; rows that repeat an id and a text are one document, so neither
-    removes the other's lines, and a null id is the largest. All windows are judged on the input. Helper columns
-    live in a struct of their own, so columns of df may have any names.
+    id, or earlier in the same one, come first; a null id is the largest. Different texts under one id, or under none,
+    follow each other by the texts' hashes. Rows that repeat an id and a text are one document, so neither removes the
+    other's lines. All windows are judged on the input. Helper columns live in a struct of their own, so columns of df
+    may have any names.
 
     Window keys are counted with partial aggregation, so a line in a third of the rows costs one row a task; only
     keys found twice are written and joined, by a join whose hot keys Spark can split. Texts are shuffled once.
@@ -50,11 +51,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     owner, body = id_order(id_col), F.xxhash64(text_or_empty(text_col))
     windows = _windows(df.select(owner.alias("owner"), body.alias("body"), text_or_empty(text_col).alias("content")))
     first = written(
-        windows.groupBy("w1", "w2").agg(F.min(F.struct("owner", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows"
+        windows.groupBy("w1", "w2").agg(F.min(F.struct("owner", "body", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows"
     )
     marked = (
         windows.join(first, ["w1", "w2"])
-        .where(F.struct("owner", "at") > F.col("first"))
+        .where(F.struct("owner", "body", "at") > F.col("first"))
         .groupBy("owner", "body")
         .agg(F.collect_set("at").alias("at"))
         .select(
