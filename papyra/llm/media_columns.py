@@ -136,14 +136,20 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 class _Sequence(HTMLParser):
-    """Text, then media, as they come; a figure's caption belongs to the media of that figure."""
+    """Text, then media, as they come; a figure's caption belongs to the media of that figure, before or after it, and is text
+    if there are none. A head whose end tag is left out ends where something begins that a head can't hold."""
 
     BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li tr article section figure figcaption header footer nav blockquote pre br ul ol table".split())
-    SILENT = frozenset(("script", "style", "head", "template"))
+    SILENT = frozenset(("script", "style", "template"))
+    HEAD = frozenset("html head title meta link base script style template noscript".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.text, self.silent, self.caption, self.figure = [], [], 0, None, []
+        self.out, self.text, self.silent, self.head, self.inner, self.caption = [], [], 0, False, None, None
+        self.begin_figure(False)
+
+    def begin_figure(self, inside: bool) -> None:
+        self.inside, self.figure, self.words, self.waiting = inside, [], "", None
 
     def flush(self) -> None:
         if words := " ".join("".join(self.text).split()):
@@ -151,39 +157,66 @@ class _Sequence(HTMLParser):
         self.text = []
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif tag not in self.HEAD and not self.silent:
+            self.head, self.inner = False, None
+        elif self.head and tag in ("title", "noscript"):
+            self.inner = tag
         if tag in self.SILENT:
             self.silent += 1
         if tag in self.BLOCKS:
             self.flush()
+        if tag in ("figure", "figcaption"):
+            self.close_caption()
         if tag == "figure":
-            self.figure = []
+            self.begin_figure(True)
         elif tag == "figcaption":
             self.caption = []
         elif tag in ("img", "audio", "video") and (source := dict(attrs).get("src")):
             self.flush()
-            self.out.append({"kind": "media", "text": None, "media": source, "caption": dict(attrs).get("alt")})
+            if self.inside and self.waiting:  # the caption came first
+                self.out = [x for x in self.out if x is not self.waiting]
+                self.waiting = None
+            self.out.append({"kind": "media", "text": None, "media": source, "caption": (self.inside and self.words) or dict(attrs).get("alt")})
             self.figure.append(self.out[-1])
 
     def handle_endtag(self, tag):
         if tag in self.SILENT and self.silent:
             self.silent -= 1
+        if tag == "head":
+            self.head = False
+        if tag == self.inner:
+            self.inner = None
         if tag == "figcaption" and self.caption is not None:
             self.close_caption()
         if tag == "figure":
             self.close_caption()
-            self.figure = []
+            self.begin_figure(False)
         if tag in self.BLOCKS:
             self.flush()
 
     def close_caption(self):
-        if self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            for media in self.figure:
-                media["caption"] = words or media["caption"]
-            self.caption = None
+        if self.caption is None:
+            return
+        words, self.caption = " ".join("".join(self.caption).split()), None
+        if not words:
+            return
+        self.words = f"{self.words} {words}".strip() if self.inside else words
+        for media in self.figure:
+            media["caption"] = self.words
+        if not self.figure:
+            self.flush()
+            if self.inside and self.waiting:
+                self.waiting["text"] = self.words
+            else:
+                self.waiting = {"kind": "text", "text": words, "media": None, "caption": None}
+                self.out.append(self.waiting)
 
     def handle_data(self, data):
-        if self.silent:
+        if self.head and not self.silent and not self.inner and data.strip():
+            self.head = False
+        if self.silent or self.head:
             return
         (self.text if self.caption is None else self.caption).append(data)
 
