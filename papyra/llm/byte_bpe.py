@@ -18,13 +18,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyra.llm.common import columns_but, kept, without_collector
 
 #: Pieces up to so many bytes are merged many at a time.
 TOGETHER = 64
-#: Pieces that one task's table of known pieces may hold before it starts anew; memory, not results, depends on it.
-KNOWN = 400_000
+#: Entries of each of the two generations of a worker's tables; memory, not results, depends on it.
+KNOWN = 300_000
 #: Documents whose pieces are looked up together.
 STEP = 1024
+#: Merged pieces' arrays have about so many places.
+PLACES = 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
@@ -52,68 +57,72 @@ class ByteBPE:
             (ranks[token[:i]], ranks[token[i:]]): rank for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
         }
         size = len(self.tokens)
-        keys = np.fromiter((a * size + b for a, b in self.pairs), dtype=np.int64, count=len(self.pairs))
-        order = np.argsort(keys)
-        self.pair_keys = np.append(keys[order], NONE)
-        self.pair_ranks = np.append(np.fromiter(self.pairs.values(), dtype=np.int64, count=len(self.pairs))[order], 0)
+        self.table = PairTable(
+            np.fromiter((a * size + b for a, b in self.pairs), dtype=np.int64, count=len(self.pairs)), np.fromiter(self.pairs.values(), dtype=np.int64, count=len(self.pairs))
+        )
         # runs that no match of the pattern crosses; what is white space is asked of the pattern's own engine
         space = "".join(map(regex.escape, regex.findall(r"\s", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))))
         self.runs = re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+")
+        self.one_piece = re.compile(" ?[A-Za-z]+")
         self.by_run = pattern_splits_at_runs(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Generations()
+        self.known = {make: Generations() for make in (tuple, self.described)}
 
     # -- merging ------------------------------------------------------------------------------------------------
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left * len(self.tokens) + right
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+        return self.table.find(left * len(self.tokens) + right)
 
     def _merge_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Pieces of similar length, each with a tree in its own row."""
+        """Pieces of similar length, each with a tree of its own; all trees lie one after another in one flat array."""
         n, longest = len(pieces), max(map(len, pieces))
-        leaves = 1 << max(0, (longest - 1).bit_length())
+        leaves = 1 << max(1, (longest - 1).bit_length())
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
         padded = np.frombuffer(b"".join(p.ljust(leaves, b"\0") for p in pieces), dtype=np.uint8).reshape(n, leaves)
-        ids = np.zeros((n, leaves + 1), dtype=np.int64)
+        wide = leaves + 1  # a place beyond the end, so that a last part has a neighbour
+        ids = np.zeros((n, wide), dtype=np.int64)
         ids[:, :leaves] = self.byte_ids[padded]
-        place = np.arange(leaves + 1)
-        after = np.broadcast_to(place + 1, (n, leaves + 1)).copy()
-        before = np.broadcast_to(place - 1, (n, leaves + 1)).copy()
+        place = np.arange(wide)
+        after = np.broadcast_to(place + 1, (n, wide)).ravel().copy()
+        before = np.broadcast_to(place - 1, (n, wide)).ravel().copy()
         alive = place[None, :] < lengths[:, None]
         tree = np.full((n, 2 * leaves), NONE, dtype=np.int64)
-        if leaves > 1:
-            rank = self._ranks_of(ids[:, : leaves - 1], ids[:, 1:leaves])
-            good = (rank >= 0) & alive[:, 1:leaves]
-            tree[:, leaves : 2 * leaves - 1] = np.where(good, rank * leaves + place[: leaves - 1], NONE)
-            for width in (1 << k for k in range(leaves.bit_length() - 2, -1, -1)):
-                tree[:, width : 2 * width] = np.minimum(tree[:, 2 * width : 4 * width : 2], tree[:, 2 * width + 1 : 4 * width : 2])
-        rows = np.flatnonzero(tree[:, 1] != NONE) if leaves > 1 else np.empty(0, dtype=np.int64)
-        while len(rows):
-            rank, i = np.divmod(tree[rows, 1], leaves)
-            j = after[rows, i]
-            k = after[rows, j]
-            ids[rows, i] = rank
-            alive[rows, j] = False
-            after[rows, i] = k
-            before[rows, k] = i
-            inside = k < lengths[rows]
-            new = self._ranks_of(rank, ids[rows, k])
-            tree[rows, leaves + j] = NONE
-            tree[rows, leaves + i] = np.where(inside & (new >= 0), new * leaves + i, NONE)
-            h = before[rows, i]
+        rank = self._ranks_of(ids[:, : leaves - 1].ravel(), ids[:, 1:leaves].ravel()).reshape(n, leaves - 1)
+        tree[:, leaves : 2 * leaves - 1] = np.where((rank >= 0) & alive[:, 1:leaves], rank * leaves + place[: leaves - 1], NONE)
+        levels = leaves.bit_length() - 1
+        for width in (1 << k for k in range(levels - 1, -1, -1)):
+            tree[:, width : 2 * width] = np.minimum(tree[:, 2 * width : 4 * width : 2], tree[:, 2 * width + 1 : 4 * width : 2])
+        ids, alive, tree = ids.ravel(), alive.ravel(), tree.ravel()
+        rows = np.arange(n)
+        while True:
+            root = tree.take(rows * (2 * leaves) + 1)
+            more = np.flatnonzero(root != NONE)
+            if not len(more):
+                break
+            rows, root = rows.take(more), root.take(more)
+            rank, i = root // leaves, root & (leaves - 1)
+            flat = rows * wide
+            j = after.take(flat + i)
+            k = after.take(flat + j)
+            ids[flat + i], alive[flat + j], after[flat + i], before[flat + k] = rank, False, k, i
+            h = before.take(flat + i)
             some = h >= 0
-            new = self._ranks_of(ids[rows, h], rank)
             left = np.where(some, h, i)
-            tree[rows, leaves + left] = np.where(some, np.where(new >= 0, new * leaves + left, NONE), tree[rows, leaves + left])
-            for node in (leaves + j, leaves + i, leaves + left):
-                for _ in range(leaves.bit_length() - 1):
-                    node = node >> 1
-                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-            rows = rows[tree[rows, 1] != NONE]
-        flat, counts = list(map(self.ints.__getitem__, ids[alive].tolist())), alive.sum(axis=1).tolist()
-        out, at = [], 0
+            own = self._ranks_of(np.concatenate([rank, ids.take(flat + left)]), np.concatenate([ids.take(flat + k), rank]))
+            right_of, left_of = own[: len(rows)], own[len(rows) :]
+            base = rows * (2 * leaves)
+            tree[base + leaves + j] = NONE
+            tree[base + leaves + i] = np.where((k < lengths.take(rows)) & (right_of >= 0), right_of * leaves + i, NONE)
+            at = (base + leaves + left)[some]
+            tree[at] = np.where(left_of >= 0, left_of * leaves + left, NONE)[some]
+            # the ancestors of the three leaves, level by level; a parent of several of them is set to the same value
+            base, node = np.concatenate([base, base, base[some]]), np.concatenate([j, i, h[some]]) + leaves
+            for _ in range(levels):
+                node >>= 1
+                child = base + 2 * node
+                tree[base + node] = np.minimum(tree.take(child), tree.take(child + 1))
+        counts = alive.reshape(n, wide).sum(axis=1).tolist()
+        flat, out, at = list(map(self.ints.__getitem__, ids[alive].tolist())), [], 0
         for count in counts:
             out.append(tuple(flat[at : at + count]))
             at += count
@@ -172,7 +181,7 @@ class ByteBPE:
             else:
                 sizes.setdefault(max(0, len(piece) - 1).bit_length(), []).append(at)
         for bits, group in sizes.items():
-            step = max(1, (1 << 19) >> bits)
+            step = max(1, PLACES >> bits)
             for start in range(0, len(group), step):
                 some = group[start : start + step]
                 for at, ids in zip(some, self._merge_together([pieces[x] for x in some]), strict=True):
@@ -181,40 +190,99 @@ class ByteBPE:
 
     # -- texts --------------------------------------------------------------------------------------------------
 
-    def _learn(self, runs: set[str]) -> None:
-        """Fills known for these runs: cut them by the pattern, merge the pieces not met before."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        if len(self.known_pieces) > KNOWN:
-            self.known_pieces.clear()
-        cut = {run: self.pattern.findall(run) for run in runs}
-        pieces = self.known_pieces
-        fresh = list({p for found in cut.values() for p in found if p not in pieces})
-        pieces.update(zip(fresh, self.merge([p.encode() for p in fresh]), strict=True))
-        for run, found in cut.items():
-            self.known[run] = pieces[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, found)))
+    def described(self, ids: tuple[int, ...]) -> tuple[str, bytes]:
+        """The ids as decimal numbers joined by commas, and the bytes that they decode to."""
+        return ",".join(map(self.digits.__getitem__, ids)), self.decode(ids)
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Token ids of each text; of a null text, none."""
+    def _learn(self, runs: list[str], make) -> list:
+        """make(ids) of each run: cut by the pattern, the pieces not met before merged together."""
+        one, find = self.one_piece.fullmatch, self.pattern.findall
+        cut = [[run] if one(run) else find(run) for run in runs]
+        known = self.pieces.of(set(chain.from_iterable(cut)), lambda fresh: self.merge([p.encode() for p in fresh]))
+        return [make(known[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(known.__getitem__, found)))) for found in cut]
+
+    def each(self, texts: list[str | None], make) -> Iterator[list]:
+        """For each text, make(ids) of its runs in order; of a null text, none. make is a key of known."""
         for start in range(0, len(texts), STEP):
             if self.by_run:
                 runs = [self.runs.findall(t) if t else [] for t in texts[start : start + STEP]]
             else:
                 runs = [[t] if t else [] for t in texts[start : start + STEP]]
-            seen = set(chain.from_iterable(runs))
-            known = self.known
-            if fresh := {r for r in seen if r not in known}:
-                before = len(known)
-                self._learn(fresh)
-                if len(known) < before:  # it started anew: what these texts share with the past is gone
-                    self._learn({r for r in seen if r not in known})
+            known = self.known[make].of(set(chain.from_iterable(runs)), lambda fresh: self._learn(fresh, make))
             for found in runs:
-                yield list(chain.from_iterable(map(known.__getitem__, found)))
+                yield list(map(known.__getitem__, found))
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Token ids of each text; of a null text, none."""
+        return (list(chain.from_iterable(parts)) for parts in self.each(texts, tuple))
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text's ids: how many, the digest of the list, and that of the bytes that they decode to."""
+        for parts in self.each(texts, self.described):
+            listed = ",".join([ids for ids, _ in parts])
+            yield listed.count(",") + bool(parts), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b"".join([data for _, data in parts])).hexdigest()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class PairTable:
+    """Ranks by pair key, in an open table of which most keys are found at the first place."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        left = np.arange(len(keys))
+        at = self._home(keys)
+        while len(left):
+            free = self.keys[at[left]] < 0
+            first = np.unique(at[left][free], return_index=True)[1]
+            put = left[free][first]
+            self.keys[at[put]], self.ranks[at[put]] = keys[put], ranks[put]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each key, -1 for those that make no token."""
+        at = self._home(keys)
+        held = self.keys.take(at)
+        out = np.where(held == keys, self.ranks.take(at), -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys.take(at[left])
+            same = held == keys[left]
+            out[left[same]] = self.ranks[at[left[same]]]
+            left = left[~same & (held >= 0)]
+        return out
+
+
+class Generations:
+    """A table that forgets what was not used for long: when the newer part is full it becomes the older one."""
+
+    def __init__(self):
+        self.new, self.old = {}, {}
+
+    def of(self, wanted: set, learn) -> dict:
+        """A table that holds all that is wanted; learn(list) gives the values of what neither part has."""
+        if len(self.new) > KNOWN:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = [x for x in wanted if x not in new]
+        fresh = []
+        for x in missing:
+            if (value := old.get(x)) is None:
+                fresh.append(x)
+            else:
+                new[x] = value
+        if fresh:
+            new.update(zip(fresh, learn(fresh), strict=True))
+        return new
+
+
 def pattern_splits_at_runs(pattern: str) -> bool:
     """Whether no match of pattern can cross the runs that encode cuts first; known for the public pattern only."""
     import public_tokenizers
@@ -222,15 +290,9 @@ def pattern_splits_at_runs(pattern: str) -> bool:
     return pattern == public_tokenizers.PATTERN
 
 
-_made: dict[int, ByteBPE] = {}
-
-
 def _codec(spec) -> ByteBPE:
-    """A worker's codec; it lives as long as the worker, with the pieces that it knows."""
-    if spec.id not in _made:
-        _made.clear()
-        _made[spec.id] = ByteBPE(*spec.value)
-    return _made[spec.id]
+    """A worker's codec; it lives until the worker turns to another operator, with the pieces that it knows."""
+    return kept(("byte_bpe", spec.id), lambda: ByteBPE(*spec.value))
 
 
 class _Spec:
@@ -253,61 +315,46 @@ def defaults() -> tuple[str, str]:
 
 
 def _per_text(df: DataFrame, text_col: str, schema: str, path: str | None, pattern: str | None, make) -> DataFrame:
-    """df's rows with the columns of schema from make(codec, ids) in place of text_col."""
+    """df's rows with the columns of schema from make(codec, texts) in place of text_col and of columns that have their names."""
     own_path, own_pattern = defaults() if path is None or pattern is None else (path, pattern)
     spec = _Spec(df.sparkSession, path or own_path, pattern or own_pattern)
-    keep = [c for c in df.columns if c != text_col]
+    fields = [f.split() for f in schema.split(", ")]
+    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    out_names, out_types = [f[0] for f in fields], [arrow[f[1]] for f in fields]
+    keep = columns_but(df, text_col, *out_names)
 
     def run(batches):
         codec = _codec(spec)
-        for batch in batches:
+        for batch in without_collector(batches):
             for start in range(0, max(1, batch.num_rows), STEP):
                 part = batch.slice(start, STEP)
-                values = list(zip(*(make(codec, ids) for ids in codec.encode(part.column(len(keep)).to_pylist())), strict=True)) or [[] for _ in out_types]
+                values = list(zip(*make(codec, part.column(len(keep)).to_pylist()), strict=True)) or [[] for _ in out_types]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + [pa.array(v, type=t) for v, t in zip(values, out_types, strict=True)],
                     names=keep + out_names,
                 )
 
-    fields = [f.split() for f in schema.split(", ")]
-    arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    out_names, out_types = [f[0] for f in fields], [arrow[f[1]] for f in fields]
-    if clash := set(out_names) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are there already; select or rename first")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col)
-    return df.select(*(f"`{c}`" for c in keep), f"`{text_col}`").mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    kept_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in keep)
+    return df.select(*(f"`{c}`" for c in keep), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"{kept_schema}{schema}")
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with text_col replaced by ``ids``: array<int>. A null or empty text has no ids. One pass, no shuffle."""
-    return _per_text(df, text_col, "ids array<int>", path, pattern, lambda codec, ids: (ids,))
+    """df with text_col replaced by ``ids``: array<int>. A null or empty text has no ids. One pass, no shuffle.
 
+    A column of df that is called ids is replaced; other columns go through, whatever their names; rows may repeat.
+    """
+    return _per_text(df, text_col, "ids array<int>", path, pattern, lambda codec, texts: ((ids,) for ids in codec.encode(texts)))
 
-def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """df with ids_col replaced by ``decoded``: binary. Null ids give empty bytes."""
-    own_path, pattern = defaults()
-    spec = _Spec(df.sparkSession, path or own_path, pattern)
-    keep = [c for c in df.columns if c != ids_col]
-
-    def run(batches):
-        codec = _codec(spec)
-        for batch in batches:
-            decoded = pa.array([codec.decode(x or []) for x in batch.column(len(keep)).to_pylist()], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), decoded], names=[*keep, "decoded"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != ids_col)
-    return df.select(*(f"`{c}`" for c in keep), f"`{ids_col}`").mapInArrow(run, f"{kept}decoded binary")
+def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """df with ids_col replaced by ``decoded``: binary. Null ids give empty bytes; a column called decoded is replaced."""
+    return _per_text(df, ids_col, "decoded binary", path, None, lambda codec, lists: ((codec.decode(ids or []),) for ids in lists))
 
 
 def digests(df: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df with text_col replaced by n_tokens, ids_sha256 and decoded_sha256 of the ids and of what they decode to.
 
     The digests are those of encode's ids, as decimal numbers joined by commas, and of decode's bytes; ids don't
-    leave the worker that made them. Rows may repeat; other columns pass through unless a name clashes.
+    leave the worker that made them. Rows may repeat; columns that have the new ones' names are replaced.
     """
-
-    def make(codec: ByteBPE, ids: list[int]):
-        listed = ",".join(map(codec.digits.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
-
-    return _per_text(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern, make)
+    return _per_text(df, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern, lambda codec, texts: codec.digests(texts))
