@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import new_folder, written
+from papyra.llm.common import new_folder, release, written
 
 CHUNK = 4 << 20
 #: Keys that a bucket's task holds, about.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 #: Bits of a key inside its bucket: two keys of a bucket of BUCKET_KEYS seldom share them, and a shared count is only too high.
 BITS = 32
 LISTING = "chunk long, path string, n_rows long, n_bytes long"
@@ -40,6 +40,7 @@ def write_chunks(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK) -> Data
     at = df.columns.index(text_col)
 
     def run(batches):
+        release()
         files, base = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         held, size, done = [], 0, []
@@ -153,6 +154,7 @@ def per_chunk(listing: DataFrame, run: Callable[[int, str, list[tuple[int, bytes
 
     def own(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by chunk and bucket, so a chunk's path comes first."""
+        release()
         chunk, path, held = None, "", []
         for batch in tables:
             for c, b, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -178,6 +180,7 @@ def per_bucket(mail: DataFrame, run: Callable[[int, list[tuple[int, bytes]]], It
             for c, d in run(bucket, held):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([bucket], pa.int32()), pa.array([d], pa.binary())], names=["chunk", "bucket", "data"])
 
+        release()
         bucket, held = None, []
         for batch in batches:
             for c, b, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -22,8 +22,9 @@ from papyra.llm.common import LAST_ID
 
 LENGTH = 50
 SEED = 24
-#: Entries (one a chunk for each different run) from which a hash's windows are compared one by one, each in the task of its own bytes.
-HOT = 4096
+#: Entries (one a chunk, and one more for each WEIGHT bytes of different runs there) from which a hash's windows are
+#: compared one by one, each in the task of its own bytes.
+HOT, WEIGHT = 1024, 512
 #: Times as many buckets for runs as for keys.
 SPLIT = 4
 #: Windows that are hashed, and about as many that are sorted, at a time.
@@ -53,6 +54,11 @@ def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(sixteen[:-8] * A[5] + eight[16:]), sixteen[:-16] * A[0] + sixteen[16:]
 
 
+def _keys(seeds: np.ndarray) -> np.ndarray:
+    """The key of each window: its smallest seed hash, mixed once more, as smallest hashes crowd at the low end."""
+    return _mix(_slide(seeds, LENGTH - SEED + 1, np.minimum) * A[1] + A[2])
+
+
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (minimum or maximum) of each width neighbours."""
     have, out = 1, x
@@ -80,7 +86,7 @@ class Runs:
         """start, windows, owner, key and code of the runs whose windows start from low, part of them at most."""
         text = data[low : low + part + LENGTH - 1]
         seeds, wide = _rolling(text)
-        least = _slide(seeds, LENGTH - SEED + 1, np.minimum)
+        least = _keys(seeds)
         first = int(np.searchsorted(starts, low, side="right")) - 1
         last = int(np.searchsorted(starts, low + len(least), side="left"))
         edges = np.clip(starts[first : last + 1] - low, 0, len(least))
@@ -135,7 +141,7 @@ def _keys_and_codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tu
         to = max(at + 1, int(np.searchsorted(ends, start[at] + PART)))
         text, own = data[start[at] : ends[to - 1]], start[at:to] - start[at]
         seeds, wide = _rolling(text)
-        keys.append(_slide(seeds, LENGTH - SEED + 1, np.minimum)[own])
+        keys.append(_keys(seeds)[own])
         codes.append(run_codes(text, wide, own, size[at:to]))
         at = to
     return np.concatenate(keys), np.concatenate(codes)
@@ -152,58 +158,104 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def smaller_neighbours(values: np.ndarray, link: np.ndarray) -> np.ndarray:
-    """For each place, the nearest place before it with a smaller value that equal links reach; -1 if none.
+def _common_bytes(words: list[np.ndarray]) -> np.ndarray:
+    """How many leading bytes, up to LENGTH, each suffix has in common with the one before; 0 for the first.
 
-    link[i]: the first place of the stretch that i belongs to. Each round jumps over what earlier rounds have passed.
+    words: the suffixes' bytes in suffix order, eight at a time, the last word ending at LENGTH.
     """
-    place = np.arange(len(values))
-    to = place - 1
-    active = place
+    n = len(words[0])
+    out, equal = np.zeros(n, dtype=np.int64), np.ones(max(0, n - 1), dtype=bool)
+    for k, w in enumerate(words):
+        differ = w[1:] ^ w[:-1]
+        fresh = min(8, LENGTH - 8 * k)  # of the last word only the bytes that no earlier word has
+        lead = np.zeros(len(differ), dtype=np.int64)
+        for i in range(fresh):
+            lead += (differ & np.uint64((1 << 8 * fresh) - 1)) >> np.uint64(8 * (fresh - 1 - i)) == 0
+        out[1:] += np.where(equal, lead, 0)
+        equal &= lead == fresh
+    return out
+
+
+def _reach(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place, the bytes in common with the nearest place before it that has a smaller value; 0 if none.
+
+    common[i]: the bytes that i and i - 1 share. Each round jumps over what earlier rounds have passed, with the least
+    of what was shared on the way; where nothing is shared any more the search ends.
+    """
+    to, reach = np.arange(len(values)) - 1, common.copy()
+    active = np.flatnonzero(reach > 0)
     while True:
-        active = active[(to[active] >= link[active])]
+        active = active[(to[active] >= 0) & (reach[active] > 0)]
         active = active[values[to[active]] >= values[active]]
         if not len(active):
             break
-        to[active] = to[to[active]]
-    to[to < link] = -1
-    return to
+        over = to[active]
+        reach[active], to[active] = np.minimum(reach[active], reach[over]), to[over]
+    return np.where(to >= 0, reach, 0)
+
+
+def longest_previous_factors(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order: the longest prefix (up to LENGTH) that one of a smaller value has too.
+
+    The previous and the next smaller value in suffix order share the most; no other smaller one shares more.
+    """
+    back = np.concatenate([common[1:], [0]])[::-1] if len(common) else common
+    return np.maximum(_reach(values, common), _reach(values[::-1], back)[::-1])
 
 
 def repeated_windows(data: np.ndarray, start: np.ndarray, windows: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows (all of the first piece, of the second, ...) occur in a piece of the same group with a smaller doc.
 
-    The suffixes that start at the windows are sorted by their first LENGTH bytes inside each group. Where
-    neighbours agree on LENGTH bytes, the longest previous factor of a suffix is that long if the previous or next
-    smaller document in suffix order lies in the same stretch.
+    The suffixes that start at the windows are sorted by their first LENGTH bytes inside each group; a window is
+    repeated if its longest previous factor, previous in the order of documents, is LENGTH bytes long.
     """
     at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    if not len(at):
+        return np.zeros(0, dtype=bool)
     piece = np.repeat(np.arange(len(start)), windows)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = [np.ascontiguousarray(eight[at + i]).view(">u8").ravel().astype(np.uint64) for i in range(0, LENGTH - 8, 8)]
-    words.append(np.ascontiguousarray(eight[at + LENGTH - 8]).view(">u8").ravel().astype(np.uint64))
+    words = [np.ascontiguousarray(eight[at + i]).view(">u8").ravel().astype(np.uint64) for i in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
     own = group[piece]
     order = np.lexsort((*words[::-1], own))
-    differs = np.ones(len(order), dtype=bool)
-    if len(order):
-        differs[1:] = own[order][1:] != own[order][:-1]
-        for w in words:
-            differs[1:] |= w[order][1:] != w[order][:-1]
-    stretch = np.maximum.accumulate(np.where(differs, np.arange(len(order)), 0))
-    docs = doc[piece][order]
-    factor = smaller_neighbours(docs, stretch) >= 0
-    last = len(order) - 1
-    ends = np.append(np.flatnonzero(differs)[1:], len(order))[np.cumsum(differs) - 1] - 1 if len(order) else order
-    factor |= smaller_neighbours(docs[::-1], (last - ends)[::-1])[::-1] >= 0
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = factor
+    common = _common_bytes([w[order] for w in words])
+    common[1:][own[order][1:] != own[order][:-1]] = 0
+    out = np.empty(len(at), dtype=bool)
+    out[order] = longest_previous_factors(doc[piece][order], common) >= LENGTH
     return out
 
 
-def _first_runs(runs: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by key, bytes and document: an order of the runs, and where a new kind of run begins in it."""
-    return _groups(runs.key, runs.code, ids[runs.owner])
+def _same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes from one[i] are those from other[i]."""
+    out, at, ends = np.empty(len(one), dtype=bool), 0, np.cumsum(size)
+    while at < len(one):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART)))
+        some = slice(at, to)
+        equal = _pieces(data, one[some], size[some]) == _pieces(data, other[some], size[some])
+        out[some] = np.logical_and.reduceat(equal, np.cumsum(size[some]) - size[some])
+        at = to
+    return out
+
+
+def _first_runs(data: np.ndarray, runs: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by key, bytes and document: an order of the runs, and where a new kind of run begins in it.
+
+    Runs of one kind have the same bytes, compared one with the next; if two runs share a code and not their bytes, codes
+    of that key are ranks of the bytes themselves.
+    """
+    order, new = _groups(runs.key, runs.code, ids[runs.owner])
+    again = np.flatnonzero(~new)
+    one, other = order[again], order[again - 1]
+    same = runs.size[one] == runs.size[other]
+    same[same] = _same_bytes(data, runs.start[one[same]], runs.start[other[same]], runs.size[one[same]])
+    if not same.all():
+        for key in np.unique(runs.key[one[~same]]):
+            of = np.flatnonzero(runs.key == key)
+            texts = [data[a : a + n].tobytes() for a, n in zip(runs.start[of], runs.size[of], strict=True)]
+            rank = {t: i for i, t in enumerate(sorted(set(texts)))}
+            runs.code[of] = [rank[t] for t in texts]
+        order, new = _groups(runs.key, runs.code, ids[runs.owner])
+    return order, new
 
 
 def _send(ids: np.ndarray, data: np.ndarray, runs: Runs, shared: np.ndarray, hot: np.ndarray, buckets: int):
@@ -232,7 +284,7 @@ def _send(ids: np.ndarray, data: np.ndarray, runs: Runs, shared: np.ndarray, hot
         runs = cold
     else:
         place = runs.key
-    order, new = _first_runs(runs, ids)
+    order, new = _first_runs(data, runs, ids)
     runs, place = runs.take(order), place[order]
     kind = np.cumsum(new) - 1
     first = np.flatnonzero(new)
@@ -265,7 +317,7 @@ def _settle(held: list[tuple[int, bytes]]):
     runs = Runs.__new__(Runs)
     runs.start, runs.windows, runs.key, runs.owner, runs.code = start, size - (LENGTH - 1), key, np.arange(len(size)), code
 
-    order, new = _first_runs(runs, doc)
+    order, new = _first_runs(data, runs, doc)
     kind = np.empty(len(order), dtype=np.int64)
     kind[order] = np.cumsum(new) - 1
     first = order[new]  # of each kind, a run of the smallest document
@@ -330,7 +382,8 @@ def suffix_dedup(
     any names; texts shorter than LENGTH stay. A text is whole in one task, whatever its length.
 
     Texts stay in chunk files. What moves is a few bytes for each smallest hash, then the runs whose hash two
-    documents share, each kind once a chunk. A hash that hot or more chunks share is split by the windows' bytes.
+    documents share, each kind once a chunk. A hash with hot or more entries is split by the windows' bytes. Hashes only
+    bring runs together; what goes has the same bytes as something earlier, compared byte by byte.
     """
     listing = write_chunks(df.select(id_col, text_col) if report else df, text_col, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
     buckets = buckets_for(listing, 1 / 12)
@@ -347,7 +400,10 @@ def suffix_dedup(
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(order))[: len(first)] - 1
         doc = ids[runs.owner][order]
-        return short[order][first], np.where(doc[first] != doc[last], 2, 1)
+        # a run counts with its bytes once, however often the chunk has it
+        by_code, kind = _groups(short, runs.code, runs.owner)
+        size = np.bincount(np.searchsorted(short[order][first], short[by_code[kind]]), runs.size[by_code[kind]], len(first)) if len(first) else np.empty(0)
+        return short[order][first], np.where(doc[first] != doc[last], 2, 1) + size.astype(np.int64) // WEIGHT
 
     def send(chunk, path, held):
         ids, data, runs = chunk_runs(read_chunk(path))

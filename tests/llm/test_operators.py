@@ -320,7 +320,7 @@ def without_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize(("hot", "part"), [(4096, 1 << 19), (2, 700)])
+@pytest.mark.parametrize(("hot", "part"), [(1024, 1 << 19), (2, 700)])
 def test_suffix_dedup(spark, monkeypatch, hot, part):
     monkeypatch.setattr(suffix_dedup, "PART", part)
     r = random.Random(7)
@@ -337,8 +337,39 @@ def test_suffix_dedup(spark, monkeypatch, hot, part):
 
 
 def test_longest_previous_factor():
-    values, link = np.array([5, 3, 4, 4, 2, 9, 1, 7]), np.array([0, 0, 0, 0, 0, 5, 5, 5])
-    assert suffix_dedup.smaller_neighbours(values, link).tolist() == [-1, -1, 1, 1, -1, -1, -1, 6]
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(1, 40)
+        texts = sorted("".join(r.choice("ab") for _ in range(60)) if r.random() < 0.5 else "ab" * 30 for _ in range(n))
+        values = np.array([r.randint(0, 8) for _ in range(n)])
+        padded = np.frombuffer("".join(texts).encode(), np.uint8).reshape(n, 60)
+        words = [np.ascontiguousarray(padded[:, i : i + 8]).view(">u8").ravel().astype(np.uint64) for i in (0, 8, 16, 24, 32, 40, 42)]
+        shared = lambda a, b: min(50, next((i for i in range(60) if a[i] != b[i]), 60))
+        common = suffix_dedup._common_bytes(words)
+        assert common.tolist() == [0] + [shared(texts[i - 1], texts[i]) for i in range(1, n)]
+        want = [max((shared(texts[i], texts[j]) for j in range(n) if values[j] < values[i]), default=0) for i in range(n)]
+        assert suffix_dedup.longest_previous_factors(values, common).tolist() == want
+
+
+def test_suffix_dedup_compares_bytes_where_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "run_codes", lambda data, wide, start, size: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "_keys", lambda seeds: np.full(max(0, len(seeds) - 26), 7, np.uint64))
+    texts = ["x" * 20 + "abcdefgh" * 9, "abcdefgh" * 8 + "zz", "q" * 70, "abcdefgh" * 8 + "zz", "0123456789" * 9, "9876543210" * 9]
+    table = {i: np.frombuffer(t.encode(), np.uint8) for i, t in enumerate(texts)}
+    data, starts = np.concatenate(list(table.values())), np.cumsum([0, *map(len, texts)])
+    runs, ids = suffix_dedup.Runs(data, starts), np.arange(len(texts))
+    order, new = suffix_dedup._first_runs(data, runs, ids)
+    kinds = np.cumsum(new)
+    found = {int(runs.owner[o]): int(k) for o, k in zip(order, kinds, strict=True)}
+    assert found[1] == found[3] and len(set(found.values())) == 5
+    sent = list(suffix_dedup._send(ids, data, runs, np.ones(len(runs.key), bool), np.zeros(len(runs.key), bool), 16))
+    gone = defaultdict(set)
+    for _, packed in suffix_dedup._settle([(0, d) for _, d in sent]):
+        at, size = suffix_dedup.unpack(packed)
+        for a, n in zip(np.cumsum(at.astype(int)), size.astype(int), strict=True):
+            gone[int(np.searchsorted(starts, a, side="right")) - 1] |= set(range(a, a + n))
+    want = {d: removed for d, _, removed, _, _ in without_repeats(list(enumerate(texts))) if removed}
+    assert {d: len(x) for d, x in gone.items()} == want
 
 
 # -- 10 ----------------------------------------------------------------------------------------------------------
