@@ -17,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.common import columns_but, kept, without_collector, written
+
 UNDETERMINED = "und"
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: About so many documents of each language are trained on, chosen by a hash of their ids; a language with fewer gives all.
 TRAIN_DOCS = 600
+#: Languages that are learnt, the most frequent first; it bounds the model where lang holds much else.
+LANGS = 512
 #: Counts that each piece has beforehand.
 SMOOTH = 0.05
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
 #: Words that one task's table may hold before it starts anew; memory, not results, depends on it.
-KNOWN = 400_000
+KNOWN = 250_000
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -222,8 +226,8 @@ def train(
 ) -> tuple[list[str], list[str], np.ndarray]:
     """Pieces, languages and probabilities learnt from id_col, text and lang of the rows that are not held out.
 
-    About train_docs whole documents of each language, chosen by a hash of the id; the bound is on their expected
-    number. What comes to the driver is a count for each language and, each round, one number for each piece and
+    About train_docs whole documents of each language, chosen by a hash of the id and written once; the bound is on their
+    expected number. Of more than LANGS languages the most frequent are learnt. What comes to the driver is a count for each language and, each round, one number for each piece and
     language, both bounded by the vocabulary and the languages.
     """
     spark = df.sparkSession
@@ -231,13 +235,13 @@ def train(
     rows = df.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         ~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     langs = sorted(sizes)
     p = np.full((len(pieces), max(1, len(langs))), 1 / len(pieces))
     if not langs:
         return pieces, langs, p[:, :0]
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, train_docs / n))) for k, n in sizes.items()))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    sample = written(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang"), "sample")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((pieces, langs, p))
 
@@ -270,15 +274,9 @@ def train(
     return pieces, langs, p
 
 
-_made: dict[str, Models] = {}
-
-
 def _models(name: str, sent) -> Models:
-    """The broadcast model; a worker keeps its table of words from task to task."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = Models(*sent.value)
-    return _made[name]
+    """The broadcast model; a worker keeps its table of words from task to task, until it turns to another operator."""
+    return kept(("language_id", name), lambda: Models(*sent.value))
 
 
 def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -289,12 +287,12 @@ def identify(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text
     called lang_pred or score are replaced. The model's size is bounded by the vocabulary and the languages.
     """
     sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
+    keep = columns_but(df, "lang_pred", "score")
     at = keep.index(text_col)
 
     def run(batches):
         models = _models(name, sent)
-        for batch in batches:
+        for batch in without_collector(batches):
             for start in range(0, max(1, batch.num_rows), STEP):
                 part = batch.slice(start, STEP)
                 langs, scores = models.texts(part.column(at).to_pylist())
@@ -316,7 +314,7 @@ def only_identified(df: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         models = _models(name, sent)
-        for batch in batches:
+        for batch in without_collector(batches):
             for start in range(0, batch.num_rows, STEP):
                 part = batch.slice(start, STEP)
                 yield part.filter(pa.array(models.identified(part.column(at).to_pylist()), pa.bool_()))
