@@ -16,18 +16,21 @@ WINDOW = 3
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """owner, body, at and a 128-bit key (w1, w2) of every window that has a line that is not blank."""
-    hashed = docs.select(
-        "owner", "body", F.transform(F.split("content", "\n"), lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h")
-    ).where(F.size("h") >= WINDOW)
-    at = lambda i, k: F.element_at(F.col("h"), (i + k).cast("int"))
+    """owner, body, at and a 128-bit key (w1, w2) of every window that has a line that is not blank.
+
+    The key's halves come from two hashes of each line, with seeds of their own, so lines that share one differ in the other.
+    """
+    line = lambda x, *seed: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*seed, x))
+    lines = F.split("content", "\n")
+    hashed = docs.select("owner", "body", F.transform(lines, lambda x: line(x)).alias("h1"), F.transform(lines, lambda x: line(x, F.lit("second"))).alias("h2")).where(F.size("h1") >= WINDOW)
+    at = lambda name, i, k: F.element_at(F.col(name), (i + k).cast("int"))
     windows = F.transform(
-        F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)),
+        F.sequence(F.lit(1), F.size("h1") - (WINDOW - 1)),
         lambda i: F.struct(
             (i - 1).alias("at"),
-            F.xxhash64(*(at(i, k) for k in range(WINDOW))).alias("w1"),
-            F.xxhash64(F.lit("second"), *(at(i, k) for k in reversed(range(WINDOW)))).alias("w2"),
-            F.greatest(*((at(i, k) != 0) for k in range(WINDOW))).alias("any"),
+            F.xxhash64(*(at("h1", i, k) for k in range(WINDOW))).alias("w1"),
+            F.xxhash64(*(at("h2", i, k) for k in range(WINDOW))).alias("w2"),
+            F.greatest(*((at("h1", i, k) != 0) for k in range(WINDOW))).alias("any"),
         ),
     )
     return hashed.select("owner", "body", F.explode(windows).alias("w")).where("w.any").select("owner", "body", "w.at", "w.w1", "w.w2")
@@ -38,20 +41,20 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
 
     report: instead id_col, n_lines, n_removed and the text that is left, as ``kept``.
 
-    Lines end at ``\\n``; blank lines equal one another, and windows of blank lines alone are never repeats. Texts
+    Lines end at ``\\n``; lines of spaces alone, or of nothing, are blank and equal one another (a line of tabs is text), and windows of blank lines alone are never repeats. Texts
     of fewer than three lines stay as they are, a null text stays null. Occurrences in a document with a smaller
     id, or earlier in the same one, come first; a null id is the largest. Different texts under one id, or under none,
     follow each other by the texts' hashes. Rows that repeat an id and a text are one document, so neither removes the
     other's lines. All windows are judged on the input. Helper columns live in a struct of their own, so columns of df
     may have any names.
 
-    Window keys are counted with partial aggregation, so a line in a third of the rows costs one row a task; only
-    keys found twice are written and joined, by a join whose hot keys Spark can split. Texts are shuffled once.
+    Windows are hashed once and written. Their keys are counted with partial aggregation, so a line in a third of the rows
+    costs one row a task; only keys found twice are joined, by a join whose hot keys Spark can split. Texts are shuffled once.
     """
     owner, body = id_order(id_col), F.xxhash64(text_or_empty(text_col))
-    windows = _windows(df.select(owner.alias("owner"), body.alias("body"), text_or_empty(text_col).alias("content")))
+    windows = written(_windows(df.select(owner.alias("owner"), body.alias("body"), text_or_empty(text_col).alias("content"))), "windows")
     first = written(
-        windows.groupBy("w1", "w2").agg(F.min(F.struct("owner", "body", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows"
+        windows.groupBy("w1", "w2").agg(F.min(F.struct("owner", "body", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats"
     )
     marked = (
         windows.join(first, ["w1", "w2"])
@@ -65,7 +68,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         )
     )
     kept = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), owner.alias("owner"), body.alias("body")).join(
-        marked.hint("shuffle_hash"), (F.col("owner") == F.col("__owner")) & (F.col("body") == F.col("__body")), "left"
+        marked, (F.col("owner") == F.col("__owner")) & (F.col("body") == F.col("__body")), "left"
     )
     content, lines = F.col("row").getField(text_col), F.split(F.col("row").getField(text_col), "\n")
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
