@@ -83,25 +83,27 @@ def pack(df: DataFrame, length: Column | None = None, id_col: str = "doc_id", bu
     length: tokens of a row, the words of ``text`` by default; null counts as 0. A batch belongs to one bucket and
     holds max(1, budget // padded length) rows, the bucket's last one what is left, so a row longer than the budget
     is a batch of its own. Every row, of whatever length, null or repeated id included, is in one batch at one slot.
-    Rows of a bucket come in the order of a hash, which mixes neighbours. Ids go through as they are; other columns
+    Rows of a bucket come in the order of a hash of id and text (or length), which mixes neighbours and is the same
+    however the table lies in files; rows that are equal in both are interchangeable. Ids go through as they are; other columns
     are ignored. An empty table gives no rows.
 
     To the driver come the distinct lengths and their counts: no more than the square root of twice the tokens.
     Texts are read once; what moves is ids and lengths. Slices keep a bucket that holds most rows spread out.
     """
-    own = df.select(F.col(id_col).alias("id"), F.coalesce(n_words() if length is None else length.cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
-    rows = written(own.withColumn("nth", F.monotonically_increasing_id()), "lengths")
+    size = F.coalesce(n_words() if length is None else length.cast("long"), F.lit(0).cast("long"))
+    own = df.select(F.col(id_col).alias("id"), size.alias("n_tokens"), F.xxhash64(F.col(id_col), text_or_empty() if length is None else size).alias("place"))
+    rows = written(own, "lengths")
     histogram = {r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds = bucket_bounds(histogram, buckets) or [0]
     slices = max(1, sum(histogram.values()) // SLICE)
-    placed = rows.withColumn("bucket", _bucket(F.col("n_tokens"), bounds)).withColumn("slice", F.pmod(F.xxhash64("id", "nth"), F.lit(slices)))
+    placed = rows.withColumn("bucket", _bucket(F.col("n_tokens"), bounds)).withColumn("slice", F.pmod(F.xxhash64("place"), F.lit(slices)))
 
     counts = placed.groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("slice") / SPAN))
     before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = counts.groupBy("bucket", "span").agg(F.sum("n").alias("n")).select("bucket", "span", before("bucket", "span").alias("span_start"))
     starts = counts.select("bucket", "span", "slice", before("bucket", "span", "slice").alias("start")).join(spans, ["bucket", "span"])
 
-    nth = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy(F.xxhash64("id", "nth"), "nth"))
+    nth = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("place", "id", "n_tokens"))
     ranked = placed.withColumn("r", nth - 1).join(starts, ["bucket", "slice"])
     rank = F.col("r") + F.col("start") + F.col("span_start")
     padded = F.element_at(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("bucket") + 1)
