@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from papyra.llm.common import LAST_ID, id_order, new_folder, written
 
-#: Compressed bytes after which a file is full, and bytes of payload that a shard holds, about.
-ROLL = 64 << 20
-SHARD = 8 << 20
-MOST_SHARDS = 4096
+#: Compressed bytes after which a file is full, at least; a table of more than FILES times as many has larger files.
+ROLL, FILES = 1 << 20, 1 << 18
+#: Bytes of payload in a shard, in files' sizes: compressed, a shard fills several files.
+SHARD = 16
+MOST_SHARDS = 1 << 14
 BINS = 4096
+#: Finer bins that a bin has for each shard that it could fill.
+FINER = 16
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,8 +107,9 @@ def members(file) -> Iterator[bytes]:
 def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
     """Upper ends (exclusive) of all shards but the last, from key and size: the same for the same rows.
 
-    Keys are counted in bins of equal width; bins that hold more than a shard are counted again in finer bins, so
-    what comes to the driver is bounded by the bins and the shards.
+    Keys are counted in bins of equal width; each bin that holds more than a shard is counted again in finer ones, FINER for
+    each shard that it could fill, until none is overfull or a bin is one key. So what comes to the driver is bounded by
+    the bins and the shards.
     """
     sizes = sizes.where(F.col("key") < LAST_ID)  # rows without an id follow in the last shard
     whole = sizes.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("size").alias("bytes")).first()
@@ -113,17 +117,16 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
         return []
     shards = min(MOST_SHARDS, max(least, -(-whole["bytes"] // shard_bytes)))
     target = max(1, whole["bytes"] // shards)
-    spread, done = [(whole["low"], whole["high"] + 1)], []
+    spread, done = [(whole["low"], max(1, -(-(whole["high"] + 1 - whole["low"]) // BINS)))], []
+    rows = sizes.select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"))
     while spread:
-        parts = None
-        for low, high in spread:
-            width = max(1, -(-(high - low) // BINS))
-            part = sizes.where((F.col("key") >= low) & (F.col("key") < high)).select((F.lit(low) + F.floor((F.col("key") - low) / width) * width).alias("bin"), F.lit(width).alias("width"), "size")
-            parts = part if parts is None else parts.unionAll(part)
-        found = parts.groupBy("bin", "width").agg(F.sum("size").alias("bytes")).collect()
-        spread = [(r["bin"], r["bin"] + r["width"]) for r in found if r["bytes"] > target and r["width"] > 1][:64]
+        finer = sizes.sparkSession.createDataFrame(spread, "bin long, width long")
+        rows = rows.join(finer, "bin").select("key", "size", (F.col("bin") + F.floor((F.col("key") - F.col("bin")) / F.col("width")) * F.col("width")).alias("bin"), "width")
+        found = rows.groupBy("bin", "width").agg(F.sum("size").alias("bytes")).collect()
+        spread = [(r["bin"], max(1, -(-r["width"] // (FINER * -(-r["bytes"] // target))))) for r in found if r["bytes"] > target and r["width"] > 1]
         again = {low for low, _ in spread}
         done += [(r["bin"], r["width"], r["bytes"]) for r in found if r["bin"] not in again]
+        rows = rows.select("key", "size", "bin")
     bounds, held = [], 0
     for low, width, size in sorted(done):
         held += size
@@ -147,7 +150,7 @@ def open_folder(uri: str):
 
 def write_archives(
     df: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    roll: int = ROLL, shard_bytes: int = SHARD, least_payload: int = 0,
+    roll: int | None = None, shard_bytes: int | None = None, least_payload: int = 0,
 ) -> DataFrame:
     """Writes a record for each row into folder (a URI; default: below the shared folder). Returns the manifest.
 
@@ -157,6 +160,7 @@ def write_archives(
     Of rows with equal payloads of at least least_payload bytes, the one with the smallest id is the response and
     the others refer to it; rows that repeat an id and a payload are all responses if the smallest. A null payload
     is empty, a null id comes last and its record names no page, a null URL is left out. Other columns are ignored.
+    A file ends when the next record would take it over roll compressed bytes, or with its shard.
 
     Payloads are shuffled once, to their shards; digests travel ahead of them to find copies, and only ids of copies
     join them. A hot payload is one row a task when its smallest id is sought.
@@ -167,7 +171,10 @@ def write_archives(
     pages = df.select(id_order(id_col).alias("key"), F.col(id_col).isNull().alias("no_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.unhex(F.sha1("payload")))
     heads = written(pages.select("key", "digest", F.octet_length("payload").cast("long").alias("size")), "heads")
-    bounds = shard_bounds(heads.select("key", (F.col("size") + 512).alias("size")), shard_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if roll is None:
+        total = heads.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+        roll = max(ROLL, total // FILES)
+    bounds = shard_bounds(heads.select("key", (F.col("size") + 512).alias("size")), shard_bytes or SHARD * roll, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     long_enough = heads.where(F.col("size") >= least_payload)
     first = written(long_enough.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "first")
