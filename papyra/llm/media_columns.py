@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import text_or_empty, written
+from papyra.llm.common import columns_but, text_or_empty, written
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -145,12 +145,33 @@ class _Sequence(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.text, self.silent, self.head, self.inner, self.caption = [], [], 0, False, None, None
+        self.out, self.text, self.silent, self.head, self.inner, self.caption, self.unseen = [], [], 0, False, None, None, []
         self.begin_figure(False)
 
     def begin_figure(self, inside: bool) -> None:
         self.inside, self.figure, self.words, self.waiting = inside, [], "", None
 
+    def parse_marked_section(self, i, report=1):
+        """The text of a CDATA section is text; other marked sections, which HTML hasn't, are passed over up to the next >."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            if end < 0:
+                return -1
+            self.handle_data(self.rawdata[i + 9 : end])
+            return end + 3
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def finish(self) -> None:
+        """The end of the page: what was not closed is closed, and a template that never ended was none."""
+        left, self.rawdata = self.rawdata, ""
+        self.silent, unseen = 0, "".join(self.unseen)
+        for data in (unseen, left.partition("<![CDATA[")[2]):
+            if data:
+                self.handle_data(data)
+        self.close_caption()
+        self.flush()
+
     def flush(self) -> None:
         if words := " ".join("".join(self.text).split()):
             self.out.append({"kind": "text", "text": words, "media": None, "caption": None})
@@ -184,6 +205,8 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SILENT and self.silent:
             self.silent -= 1
+            if not self.silent:
+                self.unseen = []
         if tag == "head":
             self.head = False
         if tag == self.inner:
@@ -216,6 +239,8 @@ class _Sequence(HTMLParser):
     def handle_data(self, data):
         if self.head and not self.silent and not self.inner and data.strip():
             self.head = False
+        if self.silent and not self.cdata_elem:
+            self.unseen.append(data)
         if self.silent or self.head:
             return
         (self.text if self.caption is None else self.caption).append(data)
@@ -225,17 +250,20 @@ def parse_sequence(html: str | None) -> list[dict]:
     """position, kind (text or media), text, media (the reference as written) and caption of each element in order."""
     parser = _Sequence()
     parser.feed(html or "")
-    parser.close()
-    parser.close_caption()
-    parser.flush()
+    try:
+        parser.close()
+    except AssertionError:
+        pass  # a declaration that the end of the page cuts off
+    parser.finish()
     return [{"position": i, **x} for i, x in enumerate(parser.out)]
 
 
 def interleave(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """df with html_col replaced by ``sequence``. A null or empty page has an empty sequence; broken HTML never fails."""
-    if "sequence" in df.columns:
-        raise ValueError("a column sequence is there already; select or rename first")
-    keep = [c for c in df.columns if c != html_col]
+    """df with html_col replaced by ``sequence``. A null or empty page has an empty sequence; broken HTML never fails.
+
+    A column of df that is called sequence is replaced; other columns go through, whatever their names.
+    """
+    keep = columns_but(df, html_col, "sequence")
     element = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("media", pa.string()), ("caption", pa.string())]))
 
     def run(batches):
@@ -243,17 +271,18 @@ def interleave(df: DataFrame, html_col: str = "html") -> DataFrame:
             parsed = pa.array([parse_sequence(x) for x in batch.column(len(keep)).to_pylist()], type=element)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), parsed], names=[*keep, "sequence"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != html_col)
-    return df.select(*(f"`{c}`" for c in keep), f"`{html_col}`").mapInArrow(run, f"{kept}sequence {SEQUENCE}")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in keep)
+    return df.select(*(f"`{c}`" for c in keep), F.col(f"`{html_col}`").alias("__html")).mapInArrow(run, f"{kept}sequence {SEQUENCE}")
 
 
 def resolve(sequences: DataFrame, described: DataFrame, scheme: str = "sha256:") -> DataFrame:
     """A row a media reference: the other columns of sequences, position, caption, and ``media``, what the store has.
 
     References are ``scheme`` and the payload's digest in hexadecimal; others, and digests that the store lacks, have a
-    null media. Both sides of the join come from a shuffle of their own, so Spark can split a hot digest.
+    null media. Columns of sequences that are called position, caption or media are replaced. Both sides of the join come
+    from a shuffle of their own, so Spark can split a hot digest.
     """
-    keep = [c for c in sequences.columns if c != "sequence"]
+    keep = columns_but(sequences, "sequence", "position", "caption", "media")
     elements = sequences.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.explode("sequence").alias("element")).where("element.kind = 'media'")
     source = F.col("element.media")
     digest = F.when(source.startswith(scheme), F.expr(f"try_to_binary(substring(element.media, {len(scheme) + 1}), 'hex')"))
