@@ -72,6 +72,40 @@ def build(records: DataFrame, order: str = "index", prev_hash: str = GENESIS, st
     return built if key else built.drop("chain")
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger that append() keeps in folder; an empty one if nothing was ever stored there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return empty(spark)
+        raise
+
+
+def append(records: DataFrame, folder: str, order: str = "index") -> DataFrame:
+    """Chains records on to the ledger stored in folder and gives the entries that were added.
+
+    Its head is found by a maximum over two narrow columns; what is there isn't rewritten, and the new entries come in one
+    committed write, so a job that fails leaves the ledger as it was. One writer at a time: a chain has one end.
+    """
+    spark = records.sparkSession
+    last = stored(spark, folder).agg(F.max(F.struct("index", "hash")).alias("last")).first()["last"]
+    start = 0 if last is None else last["index"] + 1
+    build(records, order, GENESIS if last is None else last["hash"], start).write.mode("append").parquet(folder)
+    return stored(spark, folder).where(F.col("index") >= start)
+
+
+def export(entries: DataFrame, path: str) -> None:
+    """Writes the entries as JSON lines in the order of the chain, in one file; risk scores are the numbers that were hashed."""
+    text = lambda c: F.coalesce(json_string(F.col(c)), F.lit("null"))
+    parts = [F.concat(F.lit('"index": '), F.col("index").cast("string"))]
+    parts += [F.concat(F.lit(f'"{c}": '), F.coalesce(F.col(c), F.lit("null")) if c == "risk_score" else text(c)) for c in ("prev_hash", "timestamp", "document_id", "risk_score", "decision", "hash")]
+    lines = entries.select("index", F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("index").select("value").write.mode("errorifexists").text(path)
+
+
 def heads(chains: DataFrame) -> DataFrame:
     """The last hash and the length of each chain."""
     return chains.groupBy("chain").agg(F.max_by("hash", "index").alias("head"), F.count(F.lit(1)).alias("entries"))
@@ -80,16 +114,26 @@ def heads(chains: DataFrame) -> DataFrame:
 def check(entries: DataFrame, order: str = "index", key: str | None = None) -> DataFrame:
     """A row an entry: at, linked and intact. Links compare stored hashes, so every entry can be checked by itself.
 
-    Positions count from 0 in order. Without key the one chain's narrow columns are in one window; with key each
-    chain is a window of its own.
+    Positions count from 0 in order. Each chain is checked in ranges of its order, in parallel: inside a range with its
+    neighbours, at a range's start with the last hash of the range before, of which there is one row a range.
     """
-    parts = [F.col(key)] if key else []
-    window = Window.partitionBy(*parts).orderBy(order)
-    return entries.select(
-        *([F.col(key).alias("chain")] if key else []),
-        (F.row_number().over(window) - 1).alias("at"),
-        F.coalesce(F.col("prev_hash") == F.lag("hash", 1, GENESIS).over(window), F.lit(False)).alias("linked"),
-        F.coalesce(F.col("hash") == record_hash(*(F.col(n) for n in HASHED)), F.lit(False)).alias("intact"),
+    narrow = entries.select(F.col(key).cast("string").alias("chain") if key else F.lit("").alias("chain"), F.col(order).alias("__order"), *HASHED, "hash")
+    narrow = narrow.select("chain", "__order", "prev_hash", "hash", F.coalesce(F.col("hash") == record_hash(*(F.col(n) for n in HASHED)), F.lit(False)).alias("intact"))
+    placed = narrow.repartitionByRange("chain", "__order").withColumn("__range", F.spark_partition_id())
+    inside = Window.partitionBy("__range", "chain").orderBy("__order", "hash")
+    rows = placed.withColumns({"nth": F.row_number().over(inside), "before": F.lag("hash").over(inside)})
+    ends = placed.groupBy("chain", "__range").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("__order", "hash")).alias("end"))
+    earlier = Window.partitionBy("chain").orderBy("__range")
+    starts = ends.select(
+        F.col("chain").alias("of"), F.col("__range").alias("in"), F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("passed"),
+        F.coalesce(F.lag("end.hash").over(earlier), F.lit(GENESIS)).alias("end_before"),
+    )
+    joined = rows.join(starts, (F.col("chain") == F.col("of")) & (F.col("__range") == F.col("in")))
+    return joined.select(
+        *(["chain"] if key else []),
+        (F.col("passed") + F.col("nth") - 1).alias("at"),
+        F.coalesce(F.col("prev_hash") == F.coalesce("before", "end_before"), F.lit(False)).alias("linked"),
+        "intact",
     )
 
 

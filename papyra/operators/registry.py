@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.text import alphanumeric, digits, document_type, let, none_if_blank, strip
@@ -42,6 +42,31 @@ def seed(registry: DataFrame, rows: DataFrame) -> DataFrame:
     return registry.unionByName(conform(fresh.select("r.*").withColumn("id", F.col("id") + last)))
 
 
+def migrated(df: DataFrame) -> DataFrame:
+    """A registry of an earlier shape in today's: columns that it lacks are null, unknown ones go."""
+    return conform(df)
+
+
+def create(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """The registry stored in folder, made there if it isn't; rows (a registry's, of any shape) seed what it lacks.
+
+    Files written under an earlier schema stay as they are and are read in today's shape. Only new rows are written.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        own = migrated(spark.read.option("mergeSchema", True).parquet(folder))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        own = conform(spark.createDataFrame([], REGISTRY))
+        own.write.parquet(folder)
+    if rows is not None:
+        last = own.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+        seed(own, migrated(rows)).where(F.col("id") > last).write.mode("append").parquet(folder)
+    return migrated(spark.read.option("mergeSchema", True).parquet(folder))
+
+
 def newest_first(registry: DataFrame) -> DataFrame:
     return registry.orderBy(F.desc("id"))
 
@@ -53,9 +78,9 @@ def lookup(df: DataFrame, registry: DataFrame, number: str = "document_number",
     letters and digits equal the number's or, if those are at least GRAM, contain them. contained=False
     stops after equality. Blank and undetected numbers are not searched for. Registered numbers are unique.
 
-    The search for contained numbers is an equi-join: a number contained in another starts with GRAM characters that the
-    other has somewhere. Only distinct numbers without an equal one go there, so rows that share a number cost
-    one search, and only the registry's grams that some number starts with are compared.
+    The search for contained numbers is an equi-join: a number contained in another shares each of its grams of GRAM
+    characters with it, so it is sought by the one that the fewest registered numbers have. Only distinct numbers without
+    an equal one go there, so rows that share a number cost one search.
     """
     columns = df.columns
     record = F.struct(*registry.columns).alias("record")
@@ -77,8 +102,12 @@ def lookup(df: DataFrame, registry: DataFrame, number: str = "document_number",
         grams = rows.where(F.length("key") > GRAM).select(
             "id", "key", "record", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - GRAM + 1), lambda i: F.substring("key", i, GRAM)))).alias("gram")
         )
+        pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, GRAM)))
+        sought = missing.where(F.length("clean") >= GRAM).select("raw", "clean", F.explode(pieces("clean")).alias("gram"))
+        known_grams = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+        rarest = sought.join(known_grams, "gram", "left").groupBy("raw", "clean").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("best"))
         inside = (
-            missing.where(F.length("clean") >= GRAM).withColumn("gram", F.substring("clean", 1, GRAM)).join(grams, "gram")
+            rarest.where("best.rows > 0").select("raw", "clean", "best.gram").join(grams, "gram")
             .where(F.contains("key", "clean") & (F.col("key") != F.col("clean"))).select("raw", "id", "record")
         )
         first = same.unionAll(inside).groupBy("raw").agg(F.min_by("record", "id").alias("__inexact")).withColumnRenamed("raw", "__probe")

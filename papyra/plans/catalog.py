@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from papyra.operators import extract, faces, forensics, ledger, registry, report
 from papyra.plans import screen as plan
 from papyra.schema import GENESIS, NOT_DETECTED
 from papyra.session import table
-from papyra.sources import images
+from papyra.sources import enhance, face_detection, images, pixels
 
 AS_OF = datetime.date(1998, 1, 1)
 CONFIG = plan.Config(as_of=AS_OF, fuzzy_dates=False)
@@ -134,12 +135,38 @@ def screen_flagship(spark, d):
     return _screened(spark, d).select("document_id", "registry_status", F.col("validation.status").alias("validation_status"), "risk.risk_score", "risk.risk_band")
 
 
-@query()
+def _said(words: dict[str, str]) -> str:
+    return " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items())
+
+
+@query(f"""
+WITH {SCREENINGS_SQL}, base AS (
+  SELECT s.*, k.id, k.expiry_date, {SHOWN_SQL} AS registry_status, CASE WHEN o_orderdate::DATE < DATE '1998-01-01' THEN 1 ELSE 0 END AS errors,
+         1 + CASE WHEN k.id IS NOT NULL THEN 1 ELSE 0 END AS warnings, CASE WHEN o_orderdate::DATE < DATE '1998-01-01' THEN 'fail' ELSE 'warning' END AS validation_status
+  FROM (SELECT document_id, c_name, o_orderdate, number, NULL::DOUBLE AS tampering_score, NULL::DOUBLE AS face_score FROM screenings) s LEFT JOIN known k ON s.number = k.document_number
+), {RISK_SQL}, banded AS (SELECT *, {BAND_SQL} AS risk_band, round_even(v * (wv / w), 1) AS pv, round_even(r * (wr / w), 1) AS pr FROM scored), factors AS (
+  SELECT *, 'Document validation — ' || CASE validation_status WHEN 'fail' THEN errors || ' validation error(s), e.g. expired or logically inconsistent dates.'
+           ELSE warnings || ' field(s) flagged for manual review.' END AS fv,
+         'Registry check — ' || CASE lower(registry_status) {_said(risk.STATUS_DETAIL)} END AS fr FROM banded
+)
+SELECT document_id, c_name AS name, number, strftime(o_orderdate, '%d-%m-%Y') AS ends, 'Date of Birth;Gender' AS low, registry_status,
+  concat_ws(';', 'Date of Birth:warning', CASE WHEN errors = 1 THEN 'Date of Expiry:error' END, CASE WHEN id IS NOT NULL THEN 'Date of Expiry:warning' END) AS issues,
+  validation_status AS status, risk_score, risk_band,
+  CASE risk_band {_said(risk.HEADLINES)} END || CASE WHEN pv < 2 AND pr < 2 THEN '' ELSE ' Primary contributors: '
+    || concat_ws('; ', CASE WHEN pv >= 2 AND pv >= pr THEN fv END, CASE WHEN pr >= 2 THEN fr END, CASE WHEN pv >= 2 AND pv < pr THEN fv END) || '.' END
+    || CASE WHEN risk_score > plain THEN '{risk.FLOORED}' ELSE '' END || ' (No data for: Tampering analysis, Face match — excluded from scoring.)' AS explanation
+FROM factors
+""")
 def screen_text(spark, d):
-    """A1 from recognised text: extraction, validation, lookup and cross-check, risk with its explanation."""
+    """A1 from recognised text: extraction, validation, lookup and cross-check, risk with its recommendation (K6) and explanation."""
     rows = screenings(spark, d).select("document_id", F.lit("Driving License").alias("document_type"), "raw_text", F.lit(0.9).alias("ocr_confidence"))
     out = plan.screen(rows, known(spark, d), CONFIG)
-    return out.select("document_id", "fields", "low_confidence_fields", "registry_status", "validation", "risk.risk_score", "risk.risk_band", "risk.explanation")
+    found = F.transform("validation.issues", lambda x: F.concat(x["field"], F.lit(":"), x["severity"]))
+    return out.select(
+        "document_id", F.col("fields")["Name"].alias("name"), F.col("fields")["License Number"].alias("number"), F.col("fields")["Date of Expiry"].alias("ends"),
+        F.array_join("low_confidence_fields", ";").alias("low"), "registry_status", F.array_join(found, ";").alias("issues"), F.col("validation.status").alias("status"),
+        "risk.risk_score", "risk.risk_band", "risk.explanation",
+    )
 
 
 @query(f"""
@@ -211,7 +238,7 @@ def registry_cross_check(spark, d):
     return rows.select("document_id", F.array_join(found, ";").alias("found"))
 
 
-@query("SELECT s_suppkey AS id, s_name AS full_name, 1 AS fresh FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT c_custkey, c_name, 0 FROM customer WHERE c_custkey % 7 <> 0")
+@query("SELECT s_suppkey AS id, s_name AS full_name, 1 AS fresh FROM supplier UNION ALL SELECT c_custkey, c_name, 0 FROM customer WHERE c_custkey % 7 <> 0")
 def registry_seed(spark, d):
     """Rows whose number the registry lacks are added, others ignored."""
     own = known(spark, d)
@@ -345,27 +372,29 @@ def validation_status(spark, d):
 
 
 @query(f"""
-WITH {GAPPY_SQL} SELECT severity, field, count(*) AS n FROM (
-  SELECT 'warning' AS severity, unnest(string_split(missing, ';')) AS field FROM f WHERE missing <> ''
-  UNION ALL SELECT 'warning', 'ID Number' FROM f WHERE misshapen
-  UNION ALL SELECT 'error', 'Date of Expiry' FROM f WHERE ended) GROUP BY 1, 2
+WITH {GAPPY_SQL}, l AS (SELECT (CASE WHEN ended THEN ['error:Date of Expiry'] ELSE []::VARCHAR[] END)
+    || (CASE WHEN missing = '' THEN []::VARCHAR[] ELSE list_transform(string_split(missing, ';'), lambda x: 'warning:' || x) END) || (CASE WHEN misshapen THEN ['warning:ID Number'] ELSE []::VARCHAR[] END) AS found FROM f),
+u AS (SELECT unnest(found) AS issue, unnest(range(len(found))) AS place FROM l)
+SELECT place::INT AS place, string_split(issue, ':')[1] AS severity, string_split(issue, ':')[2] AS field, count(*) AS n FROM u GROUP BY ALL
 """)
 def issue_unpivot(spark, d):
-    """Issues as rows, errors first, counted."""
+    """Issues as rows, errors first, counted by their place."""
     found = validate.validate(F.col("fields"), F.col("kind"), AS_OF)["issues"]
-    rows = _gappy(spark, d).select(F.explode(reports.errors_first(found)).alias("i"))
-    return rows.groupBy("i.severity", "i.field").agg(F.count(F.lit(1)).alias("n"))
+    rows = _gappy(spark, d).select(F.posexplode(reports.errors_first(found)).alias("place", "i"))
+    return rows.groupBy("place", "i.severity", "i.field").agg(F.count(F.lit(1)).alias("n"))
+
 
 
 # -- extraction --------------------------------------------------------------------------------------------------
 
 
 @query(f"""
-WITH {SCREENINGS_SQL} SELECT document_id, c_name AS name, number, strftime(o_orderdate, '%d-%m-%Y') AS ends, 81 AS name_confidence, 90 AS number_confidence FROM screenings
+WITH {SCREENINGS_SQL} SELECT document_id, c_name AS name, number, strftime(o_orderdate, '%d-%m-%Y') AS ends,
+  round_even((document_id % 11) / 10.0::DOUBLE * 0.9::DOUBLE * 100, 0)::INT AS name_confidence, round_even((document_id % 11) / 10.0::DOUBLE * 100, 0)::INT AS number_confidence FROM screenings
 """)
 def label_extract(spark, d):
     """T11, T14-T16, T19, T21 on derived licence texts."""
-    rows = screenings(spark, d).select("document_id", "raw_text", F.lit("Driving License").alias("document_type"), F.lit(0.9).alias("ocr_confidence"))
+    rows = screenings(spark, d).select("document_id", "raw_text", F.lit("Driving License").alias("document_type"), (F.col("document_id") % 11 / F.lit(10.0)).alias("ocr_confidence"))
     out = extract.extract(rows)
     return out.select(
         "document_id", F.col("fields")["Name"].alias("name"), F.col("fields")["License Number"].alias("number"), F.col("fields")["Date of Expiry"].alias("ends"),
@@ -373,6 +402,49 @@ def label_extract(spark, d):
     )
 
 
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'ROE ' || c_name ELSE c_name END AS name, 'P' || lpad(c_custkey::VARCHAR, 7, '0') AS number,
+  CASE c_custkey % 4 WHEN 0 THEN 'Indian' WHEN 1 THEN 'Not Detected' ELSE 'French' END AS nationality, '17-05-19' || (c_custkey % 90 + 10) AS born,
+  CASE c_custkey % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'X' WHEN 3 THEN 'Not Detected' ELSE 'F' END AS gender, CASE WHEN c_custkey % 4 = 1 THEN 'Nationality' ELSE '' END
+    || CASE WHEN c_custkey % 5 = 3 THEN CASE WHEN c_custkey % 4 = 1 THEN ';Gender' ELSE 'Gender' END ELSE '' END AS low
+FROM customer
+""")
+def passport_text(spark, d):
+    """T15-T17 on derived passports: surname and given names or a full name, values beside or below their labels, a label taken for a country."""
+    c = F.col("c_custkey")
+    name = F.when(c % 3 == 0, F.concat(F.lit("Surname\nROE\nGiven Names : "), "c_name")).otherwise(F.concat(F.lit("Name : "), "c_name"))
+    country = F.element_at(F.array(*(F.lit(x) for x in ("Indian", "Passport", "French", "French"))), (c % 4 + 1).cast("int"))
+    sex = F.element_at(F.array(*(F.lit(x) for x in ("Sex : male", "Sex : F", "Sex\nX", "", "Gender : Female"))), (c % 5 + 1).cast("int"))
+    lines = F.concat_ws(
+        "\n", F.lit("REPUBLIC"), name, F.concat(F.lit("Passport No\nP"), F.lpad(c.cast("string"), 7, "0")), F.concat(F.lit("Nationality : "), country),
+        F.concat(F.lit("Date of Birth : 17-05-19"), (c % 90 + 10).cast("string")), sex, F.lit("Date of Expiry : 20-01-2030"),
+    )
+    out = extract.extract(table(spark, d, "customer").select("c_custkey", lines.alias("raw_text"), F.lit("Passport").alias("document_type"), F.lit(1.0).alias("ocr_confidence")))
+    value = lambda f: F.col("fields")[f]
+    return out.select(
+        "c_custkey", value("Name").alias("name"), value("Passport Number").alias("number"), value("Nationality").alias("nationality"), value("Date of Birth").alias("born"),
+        value("Gender").alias("gender"), F.array_join("low_confidence_fields", ";").alias("low"),
+    )
+
+
+@query("""
+SELECT c_custkey, 'V' || lpad(c_custkey::VARCHAR, 8, '0') AS number, CASE WHEN c_custkey % 3 = 0 THEN 'Not Detected' ELSE 'Tourist ' || (c_custkey % 7) END AS type,
+  CASE c_custkey % 4 WHEN 0 THEN 'Single' WHEN 1 THEN 'MULTIPLE' WHEN 2 THEN '2' ELSE 'Not Detected' END AS entries, CASE WHEN c_custkey % 5 = 0 THEN 'Not Detected' ELSE (c_custkey % 200) || ' days' END AS stay
+FROM customer
+""")
+def visa_text(spark, d):
+    """T18 on derived visas, with values beside and below their labels and some that are missing."""
+    c = F.col("c_custkey")
+    entries = F.element_at(F.array(*(F.lit(x) for x in ("Number of Entries : Single", "Entries\nMULTIPLE", "No. of entries 2", "-"))), (c % 4 + 1).cast("int"))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("Visa No : V"), F.lpad(c.cast("string"), 8, "0")), F.when(c % 3 != 0, F.concat(F.lit("Visa Type : Tourist "), (c % 7).cast("string"))), entries,
+        F.when(c % 5 != 0, F.concat(F.lit("Duration of Stay\nup to "), (c % 200).cast("string"), F.lit(" days"))),
+    )
+    out = extract.extract(table(spark, d, "customer").select("c_custkey", lines.alias("raw_text"), F.lit("visa").alias("document_type")))
+    names = {"number": "Visa Number", "type": "Visa Type", "entries": "Entry Validation", "stay": "Stay Duration"}
+    return out.select("c_custkey", *(F.col("fields")[f].alias(n) for n, f in names.items()))
+
+
 @query("""
 SELECT o_orderkey, 'OD07 ' || lpad(o_orderkey::VARCHAR, 11, '0') AS number, strftime(o_orderdate + INTERVAL 7300 DAY, '%d/%m/%Y') AS ends FROM orders
 """)
@@ -403,22 +475,24 @@ def mrz_parse(spark, d):
     return table(spark, d, "customer").select(c, *(zone[n].alias(n) for n in ("name", "number", "nationality", "born", "gender", "ends")))
 
 
+# ß in capitals is SS, which one of the engines leaves as it is
 @query("""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(replace(text, 'ß', 's'), '\\s+'), lambda x: x <> '')[1:40] AS words FROM documents WHERE text IS NOT NULL),
-i AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS nth FROM w WHERE len(words) > 2),
-b AS (SELECT doc_id, words, CASE WHEN nth % 5 = 0 THEN NULL ELSE ((nth * 7) % 100) / 100.0::DOUBLE END AS sure, upper(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) AS bare FROM i),
-m AS (SELECT doc_id, avg(sure) FILTER (WHERE bare <> '' AND list_contains(regexp_extract_all(upper(words[1] || ' ' || words[2]), '[A-Za-z0-9]+'), bare)) AS mean FROM b GROUP BY doc_id)
-SELECT doc_id, round_even(coalesce(mean, 0.5::DOUBLE) * 100, 6) AS sure FROM m
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t\\n\\f\\r ]+'), lambda x: x <> '') AS words FROM documents),
+i AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS nth, upper(replace(concat_ws(' ', words[1], words[2]), 'ß', 'SS')) AS value FROM w),
+b AS (SELECT doc_id, value, CASE WHEN nth % 5 = 0 THEN NULL ELSE ((nth * 7) % 100) / 100.0::DOUBLE END AS sure, upper(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) AS bare FROM i),
+m AS (SELECT doc_id, avg(sure) FILTER (WHERE bare <> '' AND list_contains(regexp_extract_all(value, '[A-Za-z0-9]+'), bare)) AS mean FROM b GROUP BY doc_id)
+SELECT doc_id, round_even(coalesce(mean, 0.5::DOUBLE) * 100, 6) AS sure FROM documents LEFT JOIN m USING (doc_id)
 """)
 def token_confidence(spark, d):
-    """T13 with all words of a document as boxes, for its first two as the value."""
-    words = F.filter(F.split(F.replace("text", F.lit("ß"), F.lit("s")), r"[\t\n\f\r ]+"), lambda x: x != "")
+    """T13 with all words of a document as boxes, for its first two as the value; a null text has none."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\t\n\f\r ]+"), lambda x: x != "")
     boxes = F.transform("words", lambda w, i: F.struct(w.alias("text"), F.when((i + 1) % 5 != 0, ((i + 1) * 7 % 100) / F.lit(100.0)).alias("confidence")))
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", words.alias("words"))
+    rows = table(spark, d, "documents").select("doc_id", words.alias("words"))
     sure = extract.word_confidence(F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(1))), boxes, F.lit(0.5))
     return rows.select("doc_id", F.bround(sure * 100, 6).alias("sure"))
 
 
+
 # -- risk --------------------------------------------------------------------------------------------------------
 
 LINES_SQL = """
@@ -550,36 +624,79 @@ def ledger_hash(spark, d):
     return entries(spark, d).select("index", ledger.record_hash(F.col("decision"), F.col("document_id"), F.lit(GENESIS), F.col("risk_score"), F.col("timestamp")).alias("hash"))
 
 
-@query()
+#: The chain over all entries, by position n, one after another.
+CHAIN_SQL = f"""
+{ENTRIES_SQL}, e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY index) - 1 AS n FROM entries),
+chain AS (
+  SELECT 0::BIGINT AS n, '{GENESIS}' AS prev_hash, {HASH_SQL.replace("prev_hash ||", f"'{GENESIS}' ||")} AS hash FROM e WHERE n = 0
+  UNION ALL SELECT e.n, chain.hash, {HASH_SQL.replace("prev_hash ||", "chain.hash ||")} FROM chain JOIN e ON e.n = chain.n + 1
+)"""
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT e.n AS index, prev_hash, timestamp, document_id, risk_score, decision, hash FROM chain JOIN e USING (n)")
 def ledger_build(spark, d):
     """L2: one serial chain over all events."""
     return ledger.build(entries(spark, d))
 
 
-def _chained(spark, d):
-    """Entries that are chained by a hash without content, so that SQL can make them; every 97th was edited."""
-    from pyspark.sql.window import Window
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT e.n AS index, prev_hash, timestamp, document_id, risk_score, decision, hash FROM chain JOIN e USING (n)")
+def ledger_append(spark, d):
+    """A stored ledger that two further runs continue from its last head."""
+    import tempfile
+    import uuid
 
-    own = F.sha2(F.concat(F.lit("e"), F.col("index").cast("string")), 256)
-    rows = entries(spark, d).withColumn("prev_hash", F.coalesce(F.lag(own).over(Window.orderBy("index")), F.lit(GENESIS)))
-    return rows.withColumn("hash", own)
+    rows = entries(spark, d)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/ledger-{uuid.uuid4().hex}"
+    cuts = rows.agg(F.percentile("index", F.array(F.lit(0.3), F.lit(0.8))).alias("at")).first()["at"] or [0, 0]
+    i = F.col("index")
+    for part in (i <= cuts[0], (i > cuts[0]) & (i <= cuts[1]), i > cuts[1]):
+        ledger.append(rows.where(part), folder)
+    return ledger.stored(spark, folder).select("index", "prev_hash", "timestamp", "document_id", "risk_score", "decision", "hash")
 
 
 @query(f"""
-WITH {ENTRIES_SQL}, c AS (SELECT *, sha256('e' || index) AS hash, coalesce(lag(sha256('e' || index)) OVER (ORDER BY index), '{GENESIS}') AS prev_hash FROM entries),
-k AS (SELECT row_number() OVER (ORDER BY index) - 1 AS pos, prev_hash = coalesce(lag(hash) OVER (ORDER BY index), '{GENESIS}') AS linked, hash = {HASH_SQL} AS intact FROM c)
-SELECT count(*) AS total_records, min(pos) FILTER (WHERE NOT (linked AND intact)) AS broken_at_index, bool_and(linked AND intact) AS is_valid FROM k
+WITH RECURSIVE {CHAIN_SQL}, last AS (SELECT max(n) AS n FROM e), edited AS (SELECT n FROM e WHERE n >= (SELECT n FROM last) * 0.9 AND n % 7 = 3)
+SELECT (SELECT count(*) FROM e) AS total_records, (SELECT min(n) FROM edited) AS broken_at_index, (SELECT count(*) = 0 FROM edited) AS is_valid,
+  'Entry ' || (SELECT min(n) FROM edited) || chr(39) || 's stored hash does not match its recomputed hash (one of its fields was likely edited after the fact).' AS reason
 """)
 def ledger_verify(spark, d):
-    """L4: links and contents of all entries at once; here the contents differ from the first on."""
-    return ledger.verify(_chained(spark, d)).select("total_records", "broken_at_index", "is_valid")
+    """A true chain of which some late entries were edited; all before them must hold."""
+    built = ledger.build(entries(spark, d))
+    last = built.agg(F.max("index").alias("last"))
+    rows = built.join(last).withColumn("decision", F.when((F.col("index") >= F.col("last") * F.lit(0.9)) & (F.col("index") % 7 == 3), "LOW!").otherwise(F.col("decision")))
+    return ledger.verify(rows.drop("last")).select("total_records", "broken_at_index", "is_valid", "reason")
 
 
-@query("SELECT user_id::VARCHAR AS chain, true AS is_valid, count(*) AS total_records FROM events GROUP BY 1")
+@query("SELECT user_id::VARCHAR AS chain, count_if(event_id % 50 = 3) = 0 AS is_valid, count(*) AS total_records FROM events GROUP BY 1")
 def ledger_partitioned(spark, d):
-    """L2 and L4 with a chain for each user: built in parallel, each verified."""
-    rows = entries(spark, d).withColumn("user", F.col("document_id"))
-    return ledger.verify(ledger.build(rows, key="user"), key="chain").select("chain", "is_valid", "total_records")
+    """L2 and L4 with a chain for each user: built in parallel, some of them edited, each verified."""
+    own = entries(spark, d)
+    rows = ledger.build(own.withColumn("user", F.col("document_id")), key="user")
+    edits = own.where(F.col("index") % 50 == 3).select(F.col("document_id").alias("chain"), F.col("timestamp").alias("at"), F.lit(True).alias("edited")).distinct()
+    rows = rows.join(edits, (rows["chain"] == edits["chain"]) & (F.col("timestamp") == F.col("at")), "left").drop(edits["chain"])
+    rows = rows.withColumn("document_id", F.when(F.col("edited"), F.concat("document_id", F.lit("!"))).otherwise(F.col("document_id")))
+    return ledger.verify(rows, key="chain").select("chain", "is_valid", "total_records")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT index, timestamp, document_id, risk_score, decision FROM entries ORDER BY index")
+def ledger_list(spark, d):
+    """The entries, oldest first."""
+    return ledger.oldest_first(entries(spark, d))
+
+
+@query(f"WITH {SCREENINGS_SQL} SELECT id, document_number, full_name, status, dob FROM known ORDER BY id DESC")
+def registry_list(spark, d):
+    """A stored registry, seeded in two runs, newest first."""
+    import tempfile
+    import uuid
+
+    own = known(spark, d)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/registry-{uuid.uuid4().hex}"
+    own.where("id % 2 = 0").write.parquet(folder)
+    stored = registry.create(spark, folder, own)
+    ids = own.select(F.col("document_number").alias("of"), F.col("id").alias("own_id"))
+    rows = stored.join(ids, F.col("document_number") == F.col("of")).withColumn("id", F.col("own_id"))
+    return registry.newest_first(rows).select("id", "document_number", "full_name", "status", "dob")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT count(*) AS total_screened, count_if(upper(decision) IN ('HIGH', 'CRITICAL'))::BIGINT AS high_risk, round_even(avg(risk_score::DOUBLE), 1) AS avg_risk_score FROM entries")
@@ -633,11 +750,120 @@ def upload_check(spark, d):
     return table(spark, d, "pages").select("page_id", c["extension"].alias("extension"), c["size_mb"].alias("size_mb"), F.size(c["errors"]).alias("errors"))
 
 
-@query("SELECT min(ts) IS NOT NULL AS any_event, count(*) AS events, sum(CASE WHEN event_id % 5 < 2 THEN 1 ELSE 0 END)::BIGINT AS high_risk FROM events")
+@query("""
+SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS starts, count(*) AS screened, count_if(event_id % 5 < 2)::BIGINT AS high_risk FROM events GROUP BY 1
+""")
 def windowed_risk(spark, d):
-    """Screenings by five-minute window, added up again."""
+    """Screenings by five-minute window."""
     from papyra.streaming.ingest import windowed_risk as by_window
 
     rows = table(spark, d, "events").select("ts", F.when(F.col("event_id") % 5 == 0, "CRITICAL").when(F.col("event_id") % 5 == 1, "HIGH").otherwise("LOW").alias("risk_band"))
-    out = by_window(rows)
-    return out.agg((F.count(F.lit(1)) > 0).alias("any_event"), F.sum("screened").alias("events"), F.sum("high_risk").alias("high_risk"))
+    return by_window(rows).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "screened", "high_risk")
+
+
+@query(f"""
+WITH {SCREENINGS_SQL}, base AS (
+  SELECT s.document_id, s.number, {SHOWN_SQL} AS registry_status, tampering_score, face_score, CASE WHEN s.o_orderdate::DATE < DATE '1998-01-01' THEN 1 ELSE 0 END AS errors, 0 AS warnings,
+         CASE WHEN s.o_orderdate::DATE < DATE '1998-01-01' THEN 'fail' ELSE 'pass' END AS validation_status
+  FROM screenings s LEFT JOIN known k ON s.number = k.document_number
+), {RISK_SQL}
+SELECT 'Permit' AS document_type, number AS document_number, {BAND_SQL} AS risk_band, risk_score, upper(validation_status) AS validation, registry_status AS registry, 'LOW' AS tampering,
+  CASE WHEN face_score IS NULL THEN 'not checked' WHEN face_score >= 50 THEN 'match' ELSE 'no match' END AS face_match FROM scored
+""")
+def summary_lines(spark, d):
+    """A line a screening."""
+    return reports.summary(_screened(spark, d, cross_check=False))
+
+
+# -- images ------------------------------------------------------------------------------------------------------
+
+HEIGHT, WIDTH = 16, 20
+
+
+def pictures(spark, d):
+    """A small colour image for each customer, blue, green and red by a rule, as files give them once they are decoded."""
+    key, at = F.col("c_custkey"), F.sequence(F.lit(0).cast("long"), F.lit(HEIGHT * WIDTH * 3 - 1).cast("long"))
+    data = F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex((key * 31 + i * i * 7 + i * (13 + key % 5)) % 256), 2, "0")), ""))
+    image = F.struct(F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+    return table(spark, d, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).select(key, image.alias("image"))
+
+
+PICTURES_SQL = f"""
+place AS (SELECT y, x FROM range({HEIGHT}) a(y), range({WIDTH}) b(x)),
+colour AS (SELECT c_custkey, y, x, {", ".join(f"(c_custkey * 31 + i * i * 7 + {2 * c * 7} * i + {c * c * 7} + (i + {c}) * (13 + c_custkey % 5)) % 256 AS {n}" for c, n in enumerate("bgr"))}
+  FROM (SELECT c_custkey, y, x, (y * {WIDTH} + x) * 3 AS i FROM customer, place)),
+light AS (SELECT *, floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE + 0.5::DOUBLE) AS grey, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS whole FROM colour)"""
+
+
+@query(f"WITH {PICTURES_SQL} SELECT c_custkey, {WIDTH} AS width, {HEIGHT} AS height, sum(grey)::BIGINT AS total, max(grey * 1000 + y * {WIDTH} + x)::BIGINT AS brightest FROM light GROUP BY c_custkey")
+def picture_grey(spark, d):
+    """Grey values of every pixel."""
+    measured = pixels.measured(F.col("image"), lambda x: [images.grayscale(x)], lambda x: {"total": int(x.sum()), "brightest": int((x.astype(int) * 1000 + np.arange(x.size).reshape(x.shape)).max())}, "total long, brightest long")
+    return pictures(spark, d).withColumn("m", measured).select("c_custkey", F.col("image.width").alias("width"), F.col("image.height").alias("height"), "m.total", "m.brightest")
+
+
+@query(f"""
+WITH {PICTURES_SQL}, small AS (SELECT c_custkey, y // 2 AS y, x // 2 AS x, round_even(avg(b), 0) AS b, round_even(avg(g), 0) AS g, round_even(avg(r), 0) AS r FROM colour GROUP BY ALL)
+SELECT c_custkey, {WIDTH // 2} AS width, {HEIGHT // 2} AS height, sum((b + 3 * g + 7 * r) * (y * {WIDTH // 2} + x + 1))::BIGINT AS checksum FROM small GROUP BY c_custkey
+""")
+def picture_shrink(spark, d):
+    """No side longer than half of the longer one, by the mean of areas."""
+    weigh = lambda x: int((x.astype(int) @ np.array([1, 3, 7]) * (np.arange(x.shape[0] * x.shape[1]).reshape(x.shape[:2]) + 1)).sum())
+    small = lambda x: {"width": x.shape[1], "height": x.shape[0], "checksum": weigh(x)}
+    measured = pixels.measured(F.col("image"), lambda x: [images.shrink(x, WIDTH // 2)], small, "width int, height int, checksum long")
+    return pictures(spark, d).withColumn("m", measured).select("c_custkey", "m.*")
+
+
+@query(f"""
+WITH {PICTURES_SQL}, near AS (
+  SELECT o.c_custkey, u.grey + w.grey + l.grey + q.grey - 4 * o.grey AS edge FROM light o
+  JOIN light u ON u.c_custkey = o.c_custkey AND u.x = o.x AND u.y = CASE WHEN o.y = 0 THEN 1 ELSE o.y - 1 END
+  JOIN light w ON w.c_custkey = o.c_custkey AND w.x = o.x AND w.y = CASE WHEN o.y = {HEIGHT - 1} THEN {HEIGHT - 2} ELSE o.y + 1 END
+  JOIN light l ON l.c_custkey = o.c_custkey AND l.y = o.y AND l.x = CASE WHEN o.x = 0 THEN 1 ELSE o.x - 1 END
+  JOIN light q ON q.c_custkey = o.c_custkey AND q.y = o.y AND q.x = CASE WHEN o.x = {WIDTH - 1} THEN {WIDTH - 2} ELSE o.x + 1 END
+)
+SELECT c_custkey, round(var_pop(edge) * {(HEIGHT * WIDTH) ** 2}, 0)::BIGINT AS variance FROM near GROUP BY c_custkey
+""")
+def picture_noise(spark, d):
+    """F5's measure of noise: the variance of the Laplacian, as a whole number of its smallest steps."""
+    measured = pixels.measured(F.col("image"), lambda x: [x], lambda x: {"variance": images.laplacian_variance(x)}, "variance double")
+    return pictures(spark, d).withColumn("m", measured).select("c_custkey", F.round(F.col("m.variance") * (HEIGHT * WIDTH) ** 2).cast("long").alias("variance"))
+
+
+@query(f"""
+WITH {PICTURES_SQL}, skin AS (SELECT c_custkey, round_even((r - whole) * 0.713::DOUBLE + 128, 0) BETWEEN 133 AND 173 AND round_even((b - whole) * 0.564::DOUBLE + 128, 0) BETWEEN 77 AND 127 AS is_skin
+  FROM light WHERE x BETWEEN 2 AND 18 AND y < 15)
+SELECT c_custkey, round(avg(is_skin::INT), 9) AS share, avg(is_skin::INT) >= 0.04 AS is_face FROM skin GROUP BY c_custkey
+""")
+def picture_skin(spark, d):
+    """The share of skin in a box, and the verdict."""
+    box = {"left": 2, "top": 0, "width": 17, "height": 15}
+    seen = lambda x: {"share": pixels.skin_share(face_detection.inside(x, box)), "is_face": face_detection.is_face(x, box)}
+    measured = pixels.measured(F.col("image"), lambda x: [x], seen, "share double, is_face boolean")
+    return pictures(spark, d).withColumn("m", measured).select("c_custkey", F.round("m.share", 9).alias("share"), "m.is_face")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 300 AS x, l_suppkey % 200 AS y, l_quantity::INT + 10 AS w, l_linenumber * 9 + 10 AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, greatest(0, x - floor(w * 0.15::DOUBLE))::BIGINT AS x0, greatest(0, y - floor(h * 0.15::DOUBLE))::BIGINT AS y0, least(320, x + w + floor(w * 0.15::DOUBLE))::BIGINT AS x1,
+  least(240, y + h + floor(h * 0.15::DOUBLE))::BIGINT AS y1, (x + w)::BIGINT AS "right", (y + h)::BIGINT AS bottom, w AS width, h AS height FROM b
+""")
+def face_boxes(spark, d):
+    """B4's box with a margin, and B7's two forms of a box, there and back."""
+    box = F.struct((F.col("l_partkey") % 300).alias("left"), (F.col("l_suppkey") % 200).alias("top"), (F.col("l_quantity").cast("int") + 10).alias("width"), (F.col("l_linenumber") * 9 + 10).alias("height"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    rows = rows.withColumn("c", faces.crop_box(F.col("box"), F.lit(320), F.lit(240))).withColumn("l", faces.box_to_location(F.col("box"))).withColumn("back", faces.location_to_box(F.col("l")))
+    return rows.select(
+        "l_orderkey", "l_linenumber", *(F.col(f"c.{n}").cast("long").alias(n) for n in ("x0", "y0", "x1", "y1")), F.col("l.right").cast("long").alias("right"),
+        F.col("l.bottom").cast("long").alias("bottom"), F.col("back.width").cast("int").alias("width"), F.col("back.height").cast("int").alias("height"),
+    )
+
+
+@query()
+def picture_stages(spark, d):
+    """Pixmap files decoded and taken through all six stages, with the error level (F3) of each; held against single images in tests."""
+    head = F.lit(f"P6 {WIDTH} {HEIGHT} 255\n").cast("binary")
+    files = pictures(spark, d).select("c_custkey", F.concat(head, "image.data").alias("content"), F.lit("a.png").alias("path"))
+    rows = images.preprocess(files, stages=images.STAGES)
+    level = pixels.measured(F.col("original"), lambda x: [x], lambda x: {"ela": enhance.error_level(x)["mean"]}, "ela double")
+    return rows.withColumn("m", level).select("c_custkey", F.round("m.ela", 6).alias("ela"), *(F.sha2(f"{s}.data", 256).alias(s) for s in images.STAGES), "image_error")

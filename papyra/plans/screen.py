@@ -26,11 +26,12 @@ class Config:
     weights: dict[str, float] = field(default_factory=lambda: dict(RISK_WEIGHTS))
 
 
-def screen(documents: DataFrame, known: DataFrame, config: Config) -> DataFrame:
+def screen(documents: DataFrame, known: DataFrame, config: Config, photos: DataFrame | None = None, finder=None, decoder=None) -> DataFrame:
     """documents with fields, validation, registry_status, record, risk and the rest of a screening.
 
     documents: document_type and either raw_text (with bounding_boxes, ocr_confidence if there) or fields; optional
-    structs tampering and face_match. A signal that is missing is left out of the score. A text that can't be
+    structs tampering and face_match, or an image selfie, which is held against the photo (document_number, reference:
+    file bytes) of the registered number. A signal that is missing is left out of the score. A text that can't be
     parsed gives undetected fields, never a failed job.
     """
     rows = documents if "fields" in documents.columns else extract.extract(documents)
@@ -39,15 +40,30 @@ def screen(documents: DataFrame, known: DataFrame, config: Config) -> DataFrame:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = validate.validated(rows, config.as_of, config.fuzzy_dates)
     rows = rows.withColumn("document_number", registry.document_number(F.col("fields"), F.col("document_type")))
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        rows = rows.checkpoint()  # the lookup uses the rows twice; extraction need not run or be planned again
+    if config.contained_numbers and rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        rows = rows.checkpoint()  # the search for contained numbers uses the rows twice; extraction need not run again
     rows = registry.lookup(rows, known, "document_number", config.contained_numbers)
+    if "selfie" in rows.columns:
+        rows = _faced(rows, photos, finder, decoder)
     if config.cross_check:
         rows = rows.withColumn("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"))))
     tampering, face = F.col("tampering.tampering_score").cast("double"), F.col("face_match.similarity_score")
     return risk.with_risk(rows, "risk", *risk.of_validation(F.col("validation")), F.col("registry_status"), tampering, face, config.weights)
 
 
+def _faced(rows: DataFrame, photos: DataFrame | None, finder, decoder) -> DataFrame:
+    """rows with face_match of their selfie and the registered photo of their number."""
+    from papyra.sources import face_detection, images
+
+    if photos is None:
+        rows = rows.withColumn("__reference", F.lit(None).cast("binary"))
+    else:
+        own = photos.select(F.col("document_number").alias("__of"), F.col("reference").alias("__reference"))
+        rows = rows.join(own, F.col("record.document_number") == F.col("__of"), "left").drop("__of")
+    rows = images.preprocess(rows, "__reference", *((decoder.most_side, decoder.image) if decoder else ()), stages=("original",)).withColumnRenamed("original", "__photo_image")
+    return face_detection.match_of(rows, "__photo_image", "selfie", finder).drop("__photo_image", "__reference", "image_error")
+
+
 def ledger_entries(results: DataFrame, timestamp: str, order: str, prev_hash: str | None = None, start: int = 0) -> DataFrame:
     """The screenings as entries of one chain, once each, in the order of a column; timestamp names a text column."""
     rows = results.select(
