@@ -58,10 +58,16 @@ def none_if_blank(c: Column) -> Column:
     return F.when((c != "") & (c != NOT_DETECTED), c)
 
 
-def document_type(c: Column) -> Column:
+def document_type(c: Column, bind=let) -> Column:
     """The key of a document type; unknown ones pass through, null is empty."""
     key = F.translate(F.lower(strip(F.coalesce(c, F.lit("")))), " -", "__")
-    return let(key, lambda k: F.coalesce(F.try_element_at(literal_map(TYPE_ALIASES), k), k))
+    return bind(key, lambda k: F.coalesce(F.try_element_at(literal_map(TYPE_ALIASES), k), k))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, if it comes from fewer files than that: their row groups would be as few tasks."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or len(df.inputFiles()) >= parts else df.repartition(parts)
 
 
 def lines(c: Column) -> Column:
@@ -109,9 +115,9 @@ DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 MONTH = r"(1[0-2]|0[1-9]|[1-9])"
 
 
-def plain_date(c: Column) -> Column:
+def plain_date(c: Column, bind=let) -> Column:
     """A date in one of the ten known forms; null otherwise."""
-    return let(F.regexp_replace(strip(c), r"^\.+|\.+$", ""), _plain_date)
+    return bind(F.regexp_replace(strip(c), r"^\.+|\.+$", ""), _plain_date)
 
 
 def _plain_date(c: Column) -> Column:
@@ -148,9 +154,9 @@ def fuzzy_date(as_of: datetime.date):
     return run.asNondeterministic()  # keeps the call out of the expressions that use its result
 
 
-def any_date(c: Column) -> Column:
+def any_date(c: Column, bind=let) -> Column:
     """A date in one of the known forms, null for the sentinel too."""
-    return plain_date(none_if_blank(c))
+    return plain_date(none_if_blank(c), bind)
 
 
 def with_date(df: DataFrame, name: str, source: Column, as_of: datetime.date, fuzzy: bool = True) -> DataFrame:
@@ -158,7 +164,8 @@ def with_date(df: DataFrame, name: str, source: Column, as_of: datetime.date, fu
 
     The steps are columns of their own, so that the UDF's input is one plain column.
     """
-    own = df.withColumn("__said", none_if_blank(source)).withColumn(name, plain_date(F.col("__said")))
+    steps = Steps(df.withColumn("__said", none_if_blank(source)))
+    own = steps.ended(name, plain_date(F.col("__said"), steps))
     if fuzzy:
         own = own.withColumn("__left", F.when(F.col(name).isNull(), F.col("__said"))).withColumn("__read", fuzzy_date(as_of)(F.col("__left")))
         own = own.withColumn(name, F.coalesce(name, "__read"))

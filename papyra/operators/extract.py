@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import document_type, let, literal_map, to_int
+from papyra.functions.text import document_type, let, literal_map, spread, to_int
 from papyra.schema import GENERIC_FIELDS, LOW_CONFIDENCE, MRZ_COUNTRIES, NOT_DETECTED, NUMBER_ALIASES, PASSPORT_FIELDS, STRENGTHS, VISA_FIELDS
 
 FOUND = "array<struct<field:string,value:string,pieces:array<struct<value:string,strength:string>>>>"
@@ -75,8 +75,27 @@ def _compiled(labels: tuple[str, ...], shape: str | None):
     return re.compile(rf"(?:{'|'.join(labels)})\s*[:\-]?\s*(?P<rest>.*)$", re.I), re.compile(shape, re.I) if shape else None
 
 
+@lru_cache(64)
+def _marks(labels: tuple[str, ...]) -> tuple[str, ...]:
+    """For each label the letters that it starts with: a line of ASCII without any of them has none of the labels."""
+    return tuple(dict.fromkeys(re.match(r"(?:\\b)?([a-z]+?)(?=[a-z]\?|[^a-z?]|$)", x)[1] for x in labels))
+
+
+class Lines(list):
+    """A text's lines, with those in small letters where that is safe, so that most searches for labels needn't begin."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__(lines)
+        self.small = [x.lower() if x.isascii() else None for x in lines]
+
+    def candidates(self, labels: tuple[str, ...]):
+        """Places of the lines that may have a label."""
+        marks = _marks(labels)
+        return (i for i, x in enumerate(self.small) if x is None or any(m in x for m in marks))
+
+
 def split_lines(text: str | None) -> list[str]:
-    return [x for x in map(str.strip, (text or "").splitlines()) if x]
+    return Lines([x for x in map(str.strip, (text or "").splitlines()) if x])
 
 
 def _under_header(line: str, label_at: int, hits: list[re.Match]) -> str:
@@ -90,7 +109,8 @@ def _under_header(line: str, label_at: int, hits: list[re.Match]) -> str:
 def find_labelled(lines: list[str], labels: tuple[str, ...], shape: str | None = None) -> Found:
     """The value that the first line with a label yields, and how: beside the label, or in the next lines."""
     label, value = _compiled(labels, shape)
-    for at, line in enumerate(lines):
+    for at in lines.candidates(labels) if isinstance(lines, Lines) else range(len(lines)):
+        line = lines[at]
         hit = label.search(line)
         if hit is None:
             continue
@@ -296,7 +316,7 @@ def extract(df: DataFrame, text: str = "raw_text", kind: str = "document_type",
     own_boxes = F.col(boxes) if boxes and boxes in df.columns else F.array().cast("array<struct<text:string,confidence:double>>")
     own_ocr = F.coalesce(F.col(ocr).cast("double"), F.lit(0.0)) if ocr and ocr in df.columns else F.lit(0.0)
     own_boxes = F.coalesce(own_boxes, F.slice(own_boxes, 1, 0), F.array().cast(df.schema[boxes].dataType if boxes and boxes in df.columns else "array<struct<text:string,confidence:double>>"))
-    rows = df.withColumn("__found", labelled_fields(F.col(text), document_type(F.col(kind)))).withColumn("mrz_data", mrz(F.col(text)))
+    rows = spread(df).withColumn("__found", labelled_fields(F.col(text), document_type(F.col(kind)))).withColumn("mrz_data", mrz(F.col(text)))
 
     def confidence(entry: Column) -> Column:
         each = F.transform(entry["pieces"], lambda p: field_confidence(p["value"], p["strength"], own_boxes, own_ocr))

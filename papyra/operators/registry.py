@@ -13,17 +13,18 @@ from papyra.schema import NOT_DETECTED, NUMBER_ALIASES, NUMBER_FIELD, REGISTRY,
 GRAM = 6
 
 
-def document_number(fields: Column, kind: Column) -> Column:
+def document_number(fields: Column, kind: Column, bind=let) -> Column:
     """The number to look up: the type's field, then the general ones; the sentinel if none was detected."""
-    return let(F.struct(fields.alias("f"), document_type(kind).alias("k")), lambda r: _number(r["f"], r["k"]))
+    names = sorted({*NUMBER_FIELD.values(), "Document Number", *NUMBER_ALIASES})
+    raw = {n: F.try_element_at(fields, F.lit(n)) for n in names}
+    return bind(raw | {"__key": document_type(kind, bind)}, lambda r: _number(lambda n: none_if_blank(r[n]), r["__key"]))
 
 
-def _number(fields: Column, key: Column) -> Column:
+def _number(value, key: Column) -> Column:
     own = F.lit(None).cast("string")
     for name, field in NUMBER_FIELD.items():
-        own = F.when(key == name, none_if_blank(F.try_element_at(fields, F.lit(field)))).otherwise(own)
-    others = (none_if_blank(F.try_element_at(fields, F.lit(f))) for f in ("Document Number", *NUMBER_ALIASES))
-    return F.coalesce(own, *others, F.lit(NOT_DETECTED))
+        own = F.when(key == name, value(field)).otherwise(own)
+    return F.coalesce(own, *(value(f) for f in ("Document Number", *NUMBER_ALIASES)), F.lit(NOT_DETECTED))
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def lookup(df: DataFrame, registry: DataFrame, number: str = "document_number",
     columns = df.columns
     record = F.struct(*registry.columns).alias("record")
     known = registry.select(F.col("document_number").alias("__known"), record)
-    raw = let(F.col(number), lambda n: let(F.upper(strip(none_if_blank(n))), lambda r: F.when(r != "", r)))
-    probes = df.withColumn("__raw", raw)
+    probes = df.withColumn("__raw", F.upper(strip(none_if_blank(F.col(number))))).withColumn("__raw", F.nullif("__raw", F.lit("")))
     exact = probes.join(known, F.col("__raw") == F.col("__known"), "left")
     if not contained:
         found = exact
@@ -118,24 +118,24 @@ def lookup(df: DataFrame, registry: DataFrame, number: str = "document_number",
     return found.select(*(f"`{c}`" for c in columns), status.alias("registry_status"), "record")
 
 
-def mismatches(fields: Column, record: Column) -> Column:
+def mismatches(fields: Column, record: Column, bind=let) -> Column:
     """Issues where the extracted name, birth or expiry date differ from the registered ones.
 
     Names are equal if one contains the other; an undetected name counts as a name here, as screening always did. Dates
     are compared by their digits alone. No registered row, no issues.
     """
-    return let(F.struct(fields.alias("fields"), record.alias("record")), lambda r: _mismatches(r["fields"], r["record"]))
+    return bind({"fields": fields, "record": record}, lambda r: _mismatches(r["fields"], r["record"], bind))
 
 
-def _mismatches(fields: Column, record: Column) -> Column:
+def _mismatches(fields: Column, record: Column, bind) -> Column:
     blank = lambda c: strip(F.coalesce(c, F.lit("")))
     of = lambda name: blank(F.try_element_at(fields, F.lit(name)))
-    read = F.struct(
-        F.upper(of("Name")).alias("name"), F.upper(blank(record["full_name"])).alias("known_name"), of("Date of Birth").alias("born"), blank(record["dob"]).alias("known_born"),
-        of("Date of Expiry").alias("ends"), blank(record["expiry_date"]).alias("known_ends"),
-    )
+    read = {
+        "name": F.upper(of("Name")), "known_name": F.upper(blank(record["full_name"])), "born": of("Date of Birth"), "known_born": blank(record["dob"]),
+        "ends": of("Date of Expiry"), "known_ends": blank(record["expiry_date"]),
+    }
     none = F.array().cast("array<struct<field:string,severity:string,message:string>>")
-    return F.when(record.isNotNull(), let(read, _compared)).otherwise(none)
+    return F.when(record.isNotNull(), bind(read, _compared)).otherwise(none)
 
 
 def _compared(r: Column) -> Column:

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.text import any_date, document_type, let, literal_map, none_if_blank, stay_days, strip, with_date
+from papyra.functions.text import Steps, any_date, document_type, let, literal_map, none_if_blank, stay_days, strip, with_date
 from papyra.schema import FIELD_FALLBACKS, MAX_STAY, NUMBER_FIELD, NUMBER_SHAPE, REQUIRED_FIELDS
 
 
@@ -25,8 +25,9 @@ def field_value(fields: Column, name: str) -> Column:
     return F.coalesce(*(none_if_blank(F.try_element_at(fields, F.lit(k))) for k in (name, *FIELD_FALLBACKS.get(name, ()))))
 
 
-def _value_of(fields: Column, name: str) -> Column:
-    return let(fields, lambda f: field_value(f, name))
+def _values(fields: Column):
+    """What gives a field's value by its name."""
+    return lambda name: field_value(fields, name)
 
 
 def number_matches(number: Column, kind: Column) -> Column:
@@ -34,8 +35,8 @@ def number_matches(number: Column, kind: Column) -> Column:
     return let(F.struct(number.alias("n"), document_type(kind).alias("k")), lambda r: _matches(r["n"], r["k"]))
 
 
-def _matches(number: Column, key: Column) -> Column:
-    return let(F.upper(strip(none_if_blank(number))), lambda value: _shape(value, key))
+def _matches(number: Column, key: Column, bind=let) -> Column:
+    return bind(F.upper(strip(none_if_blank(number))), lambda value: _shape(value, key))
 
 
 def _shape(value: Column, key: Column) -> Column:
@@ -53,44 +54,43 @@ def expiry(date_text: Column, as_of: datetime.date) -> Column:
 
 def required_fields(fields: Column, kind: Column) -> Column:
     """A warning for each required field that is missing, in the type's order."""
-    return let(_with_key(fields, kind), lambda r: _required(r["f"], r["k"]))
+    return let(_with_key(fields, kind), lambda r: _required(_values(r["f"]), r["k"]))
 
 
 def _with_key(fields: Column, kind: Column) -> Column:
     return F.struct(fields.alias("f"), document_type(kind).alias("k"), kind.alias("kind"))
 
 
-def _required(fields: Column, key: Column) -> Column:
+def _required(value, key: Column) -> Column:
     out = F.array().cast("array<struct<field:string,severity:string,message:string>>")
     for name, required in REQUIRED_FIELDS.items():
-        missing = ((F.coalesce(strip(field_value(fields, f)), F.lit("")) == "", issue(f, "warning", F.lit(f"'{f}' could not be extracted and requires manual review."))) for f in required)
+        missing = ((F.coalesce(strip(value(f)), F.lit("")) == "", issue(f, "warning", F.lit(f"'{f}' could not be extracted and requires manual review."))) for f in required)
         out = F.when(key == name, issues(*missing)).otherwise(out)
     return out
 
 
 def number_format(fields: Column, kind: Column) -> Column:
     """A warning if the type's number was detected and has the wrong shape."""
-    return let(_with_key(fields, kind), lambda r: _number_format(r["f"], r["k"], r["kind"]))
+    return let(_with_key(fields, kind), lambda r: _number_format(_values(r["f"]), r["k"], r["kind"]))
 
 
-def _number_format(fields: Column, key: Column, kind: Column) -> Column:
+def _number_format(of, key: Column, kind: Column, bind=let) -> Column:
     value, name = F.lit(None).cast("string"), F.try_element_at(literal_map(NUMBER_FIELD), key)
     for known, field in NUMBER_FIELD.items():
-        value = F.when(key == known, field_value(fields, field)).otherwise(value)
+        value = F.when(key == known, of(field)).otherwise(value)
     message = lambda v: F.concat(F.lit("'"), v, F.lit("' does not match the expected format for "), F.coalesce(kind, F.lit("None")), F.lit(" numbers."))
-    return let(value, lambda v: issues((v.isNotNull() & ~_matches(v, key), issue(name, "warning", message(v)))))
+    return bind(value, lambda v: issues((v.isNotNull() & ~_matches(v, key, bind), issue(name, "warning", message(v)))))
 
 
 def date_logic(fields: Column, as_of: datetime.date, dates: tuple[Column, Column] | None = None) -> Column:
     """dates: those of birth and expiry, where they were read beforehand. Unreadable dates (warnings); birth in the future, expiry in the past, expiry not after birth (errors)."""
-    return let(fields, lambda f: _date_logic(f, as_of, dates))
+    return let(fields, lambda f: _date_logic(_values(f), as_of, dates))
 
 
-def _date_logic(fields: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
-    texts = {name: field_value(fields, field) for name, field in (("born", "Date of Birth"), ("ends", "Date of Expiry"))}
-    read = dict(zip(texts, dates, strict=True)) if dates else {n: any_date(t) for n, t in texts.items()}
-    read = F.struct(*(t.alias(f"{n}_text") for n, t in texts.items()), *(c.alias(n) for n, c in read.items()))
-    return let(read, lambda r: _date_issues(r["born_text"], r["ends_text"], r["born"], r["ends"], F.lit(as_of)))
+def _date_logic(value, as_of: datetime.date, dates: tuple[Column, Column] | None, bind=let) -> Column:
+    texts = {name: value(field) for name, field in (("born", "Date of Birth"), ("ends", "Date of Expiry"))}
+    read = dict(zip(texts, dates, strict=True)) if dates else {n: any_date(t, bind) for n, t in texts.items()}
+    return bind({f"{n}_text": t for n, t in texts.items()} | read, lambda r: _date_issues(r["born_text"], r["ends_text"], r["born"], r["ends"], F.lit(as_of)))
 
 
 def _date_issues(born_text: Column, ends_text: Column, born: Column, ends: Column, today: Column) -> Column:
@@ -104,10 +104,9 @@ def _date_issues(born_text: Column, ends_text: Column, born: Column, ends: Colum
     )
 
 
-def stay_limit(entry: Column) -> Column:
+def stay_limit(entry: Column, bind=let) -> Column:
     """Most days of a stay by entry type: single, double, multiple, or a number of entries."""
-    key = F.lower(strip(entry))
-    return let(key, _stay_limit)
+    return bind(F.lower(strip(entry)), _stay_limit)
 
 
 def _stay_limit(key: Column) -> Column:
@@ -118,17 +117,17 @@ def _stay_limit(key: Column) -> Column:
 
 def cross_fields(fields: Column, kind: Column) -> Column:
     """For visas, an error if the stay is longer than the entry type allows."""
-    return let(_with_key(fields, kind), lambda r: _cross_fields(r["f"], r["k"]))
+    return let(_with_key(fields, kind), lambda r: _cross_fields(_values(r["f"]), r["k"]))
 
 
-def _cross_fields(fields: Column, key: Column) -> Column:
-    entry, stay = field_value(fields, "Entry Validation"), field_value(fields, "Stay Duration")
-    read = F.struct(entry.alias("entry"), stay_days(stay).alias("days"), stay_limit(entry).alias("most"))
+def _cross_fields(value, key: Column, bind=let) -> Column:
+    entry = value("Entry Validation")
+    read = {"entry": entry, "days": stay_days(value("Stay Duration")), "most": stay_limit(entry, bind)}
     message = lambda r: F.concat(
         F.lit("Requested stay of "), r["days"].cast("string"), F.lit(" days exceeds the typical maximum of "), r["most"].cast("string"),
         F.lit(" days for a '"), r["entry"], F.lit("' entry visa."),
     )
-    return let(read, lambda r: issues(((key == "visa") & (r["days"] > r["most"]), issue("Stay Duration", "error", message(r)))))
+    return bind(read, lambda r: issues(((key == "visa") & (r["days"] > r["most"]), issue("Stay Duration", "error", message(r)))))
 
 
 def status_of(found: Column) -> Column:
@@ -141,24 +140,33 @@ def validate(fields: Column, kind: Column, as_of: datetime.date, dates: tuple[Co
 
     Dates in known forms are read here; for others, see validated.
     """
-    return let(_with_key(fields, kind), lambda r: _validate(r["f"], r["k"], r["kind"], as_of, dates))
+    return let(_with_key(fields, kind), lambda r: _validate(_values(r["f"]), r["f"], r["k"], r["kind"], as_of, dates))
 
 
-def _validate(fields: Column, key: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None) -> Column:
+def _validate(value, fields: Column, key: Column, kind: Column, as_of: datetime.date, dates: tuple[Column, Column] | None, bind=let) -> Column:
     note_only = (F.size(fields) == 1) & F.map_contains_key(fields, F.lit("note"))
     note = F.array(issue("_document_type", "warning", F.try_element_at(fields, F.lit("note"))))
-    checks = F.concat(_required(fields, key), _number_format(fields, key, kind), _date_logic(fields, as_of, dates), _cross_fields(fields, key))
+    checks = F.concat(_required(value, key), _number_format(value, key, kind, bind), _date_logic(value, as_of, dates, bind), _cross_fields(value, key, bind))
     found = F.when(note_only, note).otherwise(checks)
-    return let(found, lambda f: F.struct(kind.alias("document_type"), status_of(f).alias("status"), f.alias("issues")))
+    return bind(found, lambda f: F.struct(kind.alias("document_type"), status_of(f).alias("status"), f.alias("issues")))
+
+
+#: Every field that a rule looks at.
+RULED = sorted({f for required in REQUIRED_FIELDS.values() for f in required} | set(NUMBER_FIELD.values()) | {"Date of Birth", "Date of Expiry", "Entry Validation", "Stay Duration"})
 
 
 def validated(df: DataFrame, as_of: datetime.date, fuzzy: bool = True, fields: str = "fields", kind: str = "document_type") -> DataFrame:
-    """df with ``validation``; fuzzy: dates in free form are read too."""
-    rows = df
+    """df with ``validation``; fuzzy: dates in free form are read too. Steps are columns of their own, which compile."""
+    steps = Steps(df)
+    names = sorted({n for f in RULED for n in (f, *FIELD_FALLBACKS.get(f, ()))})
+    own = steps({n: F.try_element_at(F.col(fields), F.lit(n)) for n in names}, lambda raw: raw)
+    own = steps({n: none_if_blank(c) for n, c in own.items()}, lambda known: known)
+    value = lambda name: F.coalesce(*(own[n] for n in (name, *FIELD_FALLBACKS.get(name, ()))))
+    value = steps({f: value(f) for f in RULED}, lambda v: v).__getitem__
     for name, field in (("__born", "Date of Birth"), ("__ends", "Date of Expiry")):
-        rows = with_date(rows, name, _value_of(F.col(fields), field), as_of, fuzzy)
-    value = validate(F.col(fields), F.col(kind), as_of, (F.col("__born"), F.col("__ends")))
-    return rows.withColumn("validation", value).drop("__born", "__ends")
+        steps.df = with_date(steps.df, name, value(field), as_of, fuzzy)
+    key = document_type(F.col(kind), steps)
+    return steps.ended("validation", steps(key, lambda k: _validate(value, F.col(fields), k, F.col(kind), as_of, (F.col("__born"), F.col("__ends")), steps)))
 
 
 def summary(validation: Column) -> Column:
@@ -175,12 +183,12 @@ def _summary(validation: Column) -> Column:
     return F.struct((validation["status"] != "fail").alias("is_valid"), F.map_from_arrays(names, last).alias("field_errors"), warnings.alias("warnings"))
 
 
-def with_mismatches(validation: Column, mismatches: Column) -> Column:
+def with_mismatches(validation: Column, mismatches: Column, bind=let) -> Column:
     """validation with the registry's mismatches after its issues; any error among those makes it fail."""
     more = F.coalesce(mismatches, F.array().cast("array<struct<field:string,severity:string,message:string>>"))
     failed = lambda m: F.exists(m, lambda x: x["severity"] == "error")
-    return let(
-        F.struct(validation.alias("v"), more.alias("m")),
+    return bind(
+        {"v": validation, "m": more},
         lambda r: F.struct(
             r["v"]["document_type"].alias("document_type"),
             F.when(failed(r["m"]), "fail").otherwise(r["v"]["status"]).alias("status"),

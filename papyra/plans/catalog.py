@@ -367,8 +367,8 @@ WITH {GAPPY_SQL} SELECT o_orderkey, CASE WHEN ended THEN 'fail' WHEN missing <>
 """)
 def validation_status(spark, d):
     """V11 and V12."""
-    rows = _gappy(spark, d).withColumn("v", validate.validate(F.col("fields"), F.col("kind"), AS_OF)).withColumn("s", validate.summary(F.col("v")))
-    return rows.select("o_orderkey", "v.status", "s.is_valid", F.size("s.warnings").alias("warnings"))
+    rows = validate.validated(text.spread(_gappy(spark, d)), AS_OF, False, kind="kind").withColumn("s", validate.summary(F.col("validation")))
+    return rows.select("o_orderkey", "validation.status", "s.is_valid", F.size("s.warnings").alias("warnings"))
 
 
 @query(f"""

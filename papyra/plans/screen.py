@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions.text import Steps, spread
 from papyra.operators import extract, ledger, registry, risk, validate
 from papyra.schema import RISK_WEIGHTS
 
@@ -34,19 +35,21 @@ def screen(documents: DataFrame, known: DataFrame, config: Config, photos: DataF
     file bytes) of the registered number. A signal that is missing is left out of the score. A text that can't be
     parsed gives undetected fields, never a failed job.
     """
-    rows = documents if "fields" in documents.columns else extract.extract(documents)
+    rows = spread(documents) if "fields" in documents.columns else extract.extract(documents)
     for name, kind in (("tampering", TAMPERING), ("face_match", FACE)):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     rows = validate.validated(rows, config.as_of, config.fuzzy_dates)
-    rows = rows.withColumn("document_number", registry.document_number(F.col("fields"), F.col("document_type")))
+    steps = Steps(rows)
+    rows = steps.ended("document_number", registry.document_number(F.col("fields"), F.col("document_type"), steps))
     if config.contained_numbers and rows.sparkSession.conf.get("spark.checkpoint.dir", None):
         rows = rows.checkpoint()  # the search for contained numbers uses the rows twice; extraction need not run again
     rows = registry.lookup(rows, known, "document_number", config.contained_numbers)
     if "selfie" in rows.columns:
         rows = _faced(rows, photos, finder, decoder)
     if config.cross_check:
-        rows = rows.withColumn("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"))))
+        steps = Steps(rows)
+        rows = steps.ended("validation", validate.with_mismatches(F.col("validation"), registry.mismatches(F.col("fields"), F.col("record"), steps), steps))
     tampering, face = F.col("tampering.tampering_score").cast("double"), F.col("face_match.similarity_score")
     return risk.with_risk(rows, "risk", *risk.of_validation(F.col("validation")), F.col("registry_status"), tampering, face, config.weights)
 
