@@ -121,7 +121,8 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
     rows = sizes.select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"))
     while spread:
         finer = sizes.sparkSession.createDataFrame(spread, "bin long, width long")
-        rows = rows.join(finer, "bin").select("key", "size", (F.col("bin") + F.floor((F.col("key") - F.col("bin")) / F.col("width")) * F.col("width")).alias("bin"), "width")
+        # no more rows than shards, as each is a bin with more than a shard's bytes
+        rows = rows.join(F.broadcast(finer), "bin").select("key", "size", (F.col("bin") + F.floor((F.col("key") - F.col("bin")) / F.col("width")) * F.col("width")).alias("bin"), "width")
         found = rows.groupBy("bin", "width").agg(F.sum("size").alias("bytes")).collect()
         spread = [(r["bin"], max(1, -(-r["width"] // (FINER * -(-r["bytes"] // target))))) for r in found if r["bytes"] > target and r["width"] > 1]
         again = {low for low, _ in spread}
