@@ -16,7 +16,7 @@ from papyra.functions import text
 from papyra.operators import extract, faces, forensics, ledger, registry, reports, risk, validate
 from papyra.plans import screen as plan
 from papyra.schema import GENESIS, NOT_DETECTED
-from papyra.session import table
+from papyra.session import shared_folder, table
 from papyra.sources import enhance, face_detection, images, pixels
 
 AS_OF = datetime.date(1998, 1, 1)
@@ -642,11 +642,8 @@ def ledger_build(spark, d):
 @query(f"WITH RECURSIVE {CHAIN_SQL} SELECT e.n AS index, prev_hash, timestamp, document_id, risk_score, decision, hash FROM chain JOIN e USING (n)")
 def ledger_append(spark, d):
     """A stored ledger that two further runs continue from its last head."""
-    import tempfile
-    import uuid
-
     rows = entries(spark, d)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/ledger-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "ledger")
     cuts = rows.agg(F.percentile("index", F.array(F.lit(0.3), F.lit(0.8))).alias("at")).first()["at"] or [0, 0]
     i = F.col("index")
     for part in (i <= cuts[0], (i > cuts[0]) & (i <= cuts[1]), i > cuts[1]):
@@ -687,11 +684,8 @@ def ledger_list(spark, d):
 @query(f"WITH {SCREENINGS_SQL} SELECT id, document_number, full_name, status, dob FROM known ORDER BY id DESC")
 def registry_list(spark, d):
     """A stored registry, seeded in two runs, newest first."""
-    import tempfile
-    import uuid
-
     own = known(spark, d)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/registry-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "registry")
     own.where("id % 2 = 0").write.parquet(folder)
     stored = registry.create(spark, folder, own)
     ids = own.select(F.col("document_number").alias("of"), F.col("id").alias("own_id"))

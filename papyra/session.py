@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: What the plans count on; everything else is left to the cluster's own settings.
@@ -27,3 +30,14 @@ def build_session(app: str = "papyra", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables in a data folder; any path that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; without that setting a local master's own temporary folder, and nowhere else."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="papyra-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

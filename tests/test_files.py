@@ -1,6 +1,7 @@
 """Images and files without a library: decoding, enhancement, error levels, faces, screening; stored ledgers and registries."""
 
 import datetime
+import hashlib
 import struct
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators import ledger, registry
+from papyra.plans import catalog
 from papyra.plans.screen import Config
 from papyra.plans.screen_files import Backends, screen_files
 from papyra.schema import GENESIS
@@ -120,6 +122,21 @@ def test_engines(spark, monkeypatch):
     assert six.original.width == 420 and six.resized.width == 100 and six.grayscale.channels == six.enhanced.channels == 1 and six.image_error is None
 
 
+def test_picture_stages_equal_single_images(spark):
+    rows = catalog.picture_stages(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 150 and all(r.image_error is None for r in rows)
+    i = np.arange(16 * 20 * 3)
+    for r in rows[::25]:
+        k = r.c_custkey
+        rgb = ((k * 31 + i * i * 7 + i * (13 + k % 5)) % 256).astype(np.uint8).reshape(16, 20, 3)
+        image = np.ascontiguousarray(rgb[..., ::-1])
+        grey = images.grayscale(image)
+        clean = enhance.denoise(grey)
+        steps = dict(zip(images.STAGES, (image, image, grey, clean, enhance.deskew(clean), enhance.contrast(enhance.deskew(clean))), strict=True))
+        assert {s: r[s] for s in images.STAGES} == {s: hashlib.sha256(x.tobytes()).hexdigest() for s, x in steps.items()}
+        assert abs(r.ela - enhance.error_level(image)["mean"]) < 1e-6
+
+
 def test_screening_from_files(spark):
     files = [("a", "a.png", png(page()), png(page())), ("b", "b.gif", b"GIF8", None), ("c", "c.png", b"broken", b"broken"), ("d", "d.png", None, None), ("e", "e.png", png(page(False)), None)]
     documents = spark.createDataFrame(files, "document_id string, path string, content binary, selfie binary").withColumn("document_type", F.lit("permit"))
