@@ -104,21 +104,27 @@ def members(file) -> Iterator[bytes]:
         raise ValueError("the file ends inside a record")
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
-    """Upper ends (exclusive) of all shards but the last, from key and size: the same for the same rows.
+def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> tuple[list[int], list[int]]:
+    """Upper ends (exclusive) of all shards but the last, and how many pieces each shard has; from key and size, the same for the same rows.
 
     Keys are counted in bins of equal width; each bin that holds more than a shard is counted again in finer ones, FINER for
     each shard that it could fill, until none is overfull or a bin is one key. So what comes to the driver is bounded by
-    the bins and the shards.
+    the bins and the shards. Only a key that alone is over a shard has pieces, in a shard of its own; so have the rows without an id.
     """
-    sizes = sizes.where(F.col("key") < LAST_ID)  # rows without an id follow in the last shard
-    whole = sizes.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.sum("size").alias("bytes")).first()
-    if whole["low"] is None:
-        return []
+    known = F.col("key") < LAST_ID  # rows without an id follow in the last shard
+    whole = sizes.agg(
+        F.min(F.when(known, F.col("key"))).alias("low"), F.max(F.when(known, F.col("key"))).alias("high"), F.sum("size").alias("bytes"),
+        F.coalesce(F.sum(F.when(~known, F.col("size"))), F.lit(0)).alias("unnamed"),
+    ).first()
+    if whole["bytes"] is None:
+        return [], [1]
     shards = min(MOST_SHARDS, max(least, -(-whole["bytes"] // shard_bytes)))
     target = max(1, whole["bytes"] // shards)
+    unnamed = -(-whole["unnamed"] // target) if whole["unnamed"] > target else 1
+    if whole["low"] is None:
+        return [], [unnamed]
     spread, done = [(whole["low"], max(1, -(-(whole["high"] + 1 - whole["low"]) // BINS)))], []
-    rows = sizes.select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"))
+    rows = sizes.where(known).select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"))
     while spread:
         finer = sizes.sparkSession.createDataFrame(spread, "bin long, width long")
         # no more rows than shards, as each is a bin with more than a shard's bytes
@@ -128,20 +134,32 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> list[int]:
         again = {low for low, _ in spread}
         done += [(r["bin"], r["width"], r["bytes"]) for r in found if r["bin"] not in again]
         rows = rows.select("key", "size", "bin")
-    bounds, held = [], 0
+    bounds, pieces, held = [], [], 0
     for low, width, size in sorted(done):
+        if size > target and held:
+            bounds.append(low)
+            pieces.append(1)
+            held = 0
         held += size
         if held >= target:
             bounds.append(low + width)
+            pieces.append(-(-size // target) if size > target else 1)
             held = 0
-    return bounds[:-1] if bounds and bounds[-1] > whole["high"] else bounds
+    if unnamed > 1 and held:
+        bounds.append(whole["high"] + 1)
+        pieces.append(1)
+    if unnamed == 1 and bounds and bounds[-1] > whole["high"]:
+        return bounds[:-1], pieces
+    return bounds, [*pieces, unnamed]
 
 
-def _shard(key: Column, bounds: list[int], low: int = 0) -> Column:
+def _shard(key: Column, part: Column, bounds: list[int], pieces: list[int], low: int = 0) -> Column:
+    """The number of a row's shard, pieces counted; part, from 0 to 65535, says which piece."""
     if not bounds:
-        return F.lit(low)
+        return F.lit(low) if pieces[0] == 1 else (F.lit(low) + F.floor(part * pieces[0] / 65536)).cast("int")
     half = len(bounds) // 2
-    return F.when(key < bounds[half], _shard(key, bounds[:half], low)).otherwise(_shard(key, bounds[half + 1 :], low + half + 1))
+    before, after = (bounds[:half], pieces[: half + 1]), (bounds[half + 1 :], pieces[half + 1 :])
+    return F.when(key < bounds[half], _shard(key, part, *before, low)).otherwise(_shard(key, part, *after, low + sum(before[1])))
 
 
 def open_folder(uri: str):
@@ -163,7 +181,8 @@ def write_archives(
     is empty, a null id comes last and its record names no page, a null URL is left out. Other columns are ignored.
     A file ends when the next record would take it over roll compressed bytes, or with its shard.
 
-    Payloads are shuffled once, to their shards; digests travel ahead of them to find copies, and only ids of copies
+    Payloads are shuffled once, each shard to a task of its own; an id (or the lack of one) that is over a shard is cut into
+    pieces by digest, which keeps the order of id and digest; only rows equal in both stay together. Digests travel ahead of them to find copies, and only ids of copies
     join them. A hot payload is one row a task when its smallest id is sought.
     """
     spark = df.sparkSession
@@ -175,7 +194,7 @@ def write_archives(
     if roll is None:
         total = heads.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
         roll = max(ROLL, total // FILES)
-    bounds = shard_bounds(heads.select("key", (F.col("size") + 512).alias("size")), shard_bytes or SHARD * roll, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds, pieces = shard_bounds(heads.select("key", (F.col("size") + 512).alias("size")), shard_bytes or SHARD * roll, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     long_enough = heads.where(F.col("size") >= least_payload)
     first = written(long_enough.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "first")
@@ -185,8 +204,9 @@ def write_archives(
     rows = copies.select("key", "digest", F.lit(0).alias("kind"), "first", none("boolean").alias("no_id"), none("string").alias("url"), none("binary").alias("payload")).unionAll(
         pages.select("key", "digest", F.lit(1).alias("kind"), none("long").alias("first"), "no_id", "url", "payload")
     )
-    shards = len(bounds) + 1
-    ordered = rows.withColumn("shard", _shard(F.col("key"), bounds)).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url")
+    part = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")
+    numbered = rows.withColumn("shard", _shard(F.col("key"), part, bounds, pieces))
+    ordered = numbered.repartitionById(sum(pieces), "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url")
 
     def run(batches):
         files, base = open_folder(folder)

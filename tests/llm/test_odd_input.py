@@ -66,7 +66,8 @@ def test_batches_do_not_depend_on_files(spark):
 
 def test_shards_are_even_for_crowded_keys(spark):
     near = [(i, 100) for i in range(5000)] + [(10**12 + 7 * i, 100) for i in range(5000)] + [(4 * 10**18, 300)]
-    bounds = warc.shard_bounds(spark.createDataFrame(near, "key long, size long"), 5000, 8)
+    bounds, pieces = warc.shard_bounds(spark.createDataFrame(near, "key long, size long"), 5000, 8)
+    assert pieces == [1] * (len(bounds) + 1)
     held = [0] * (len(bounds) + 1)
     for key, size in near:
         held[sum(b <= key for b in bounds)] += size
@@ -78,3 +79,21 @@ def test_files_roll_by_compressed_size(spark):
     rows = [(i, None, "".join(chr(r.randint(33, 1000)) for _ in range(60_000))) for i in range(30)]
     manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
     assert len(manifest) >= 3 and sum(x.records for x in manifest) == 30 and max(x.bytes for x in manifest) <= warc.ROLL
+
+
+@pytest.mark.parametrize("hot", [[None], [7], [7, None], [1], [100], [None] * 3])
+def test_ids_over_a_shard_are_cut_by_digest(spark, hot):
+    r = random.Random(4)
+    crowd = [(k, None, f"{k} {i} " + "".join(chr(r.randint(33, 126)) for _ in range(90))) for k in set(hot) for i in range(300)]
+    rows = crowd + ([] if len(hot) == 3 else [(i, f"http://h/{i}", "page " * (i % 9)) for i in range(1, 101)])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(df, roll=1 << 20, shard_bytes=4000).collect()
+    shards = [x.path.rpartition("/")[2][:11] for x in manifest]
+    assert len(set(shards)) == len(shards) > 8 and max(x.records for x in manifest) <= 80
+    found = warc.read_archives(spark.createDataFrame(manifest)).collect()
+    assert sorted(((x.page, x.payload.decode()) for x in found if x.type == "response"), key=str) == sorted({(k, t) for k, _, t in rows if rows_first(rows, t) == (k or 2**63)}, key=str)
+    assert len(found) == len(rows)
+
+
+def rows_first(rows, text):
+    return min(k or 2**63 for k, _, t in rows if t == text)
