@@ -123,17 +123,18 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int) -> tuple[list[i
     unnamed = -(-whole["unnamed"] // target) if whole["unnamed"] > target else 1
     if whole["low"] is None:
         return [], [unnamed]
-    spread, done = [(whole["low"], max(1, -(-(whole["high"] + 1 - whole["low"]) // BINS)))], []
-    rows = sizes.where(known).select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"))
-    while spread:
-        finer = sizes.sparkSession.createDataFrame(spread, "bin long, width long")
-        # no more rows than shards, as each is a bin with more than a shard's bytes
-        rows = rows.join(F.broadcast(finer), "bin").select("key", "size", (F.col("bin") + F.floor((F.col("key") - F.col("bin")) / F.col("width")) * F.col("width")).alias("bin"), "width")
+    width, done = max(1, -(-(whole["high"] + 1 - whole["low"]) // BINS)), []
+    rows = sizes.where(known).select("key", "size", F.lit(whole["low"]).cast("long").alias("bin"), F.lit(width).cast("long").alias("width"))
+    while True:
+        rows = rows.select("key", "size", F.expr("bin + ((key - bin) div width) * width").alias("bin"), "width")
         found = rows.groupBy("bin", "width").agg(F.sum("size").alias("bytes")).collect()
         spread = [(r["bin"], max(1, -(-r["width"] // (FINER * -(-r["bytes"] // target))))) for r in found if r["bytes"] > target and r["width"] > 1]
         again = {low for low, _ in spread}
         done += [(r["bin"], r["width"], r["bytes"]) for r in found if r["bin"] not in again]
-        rows = rows.select("key", "size", "bin")
+        if not spread:
+            break
+        # no more rows than shards, as each is a bin with more than a shard's bytes
+        rows = rows.drop("width").join(F.broadcast(sizes.sparkSession.createDataFrame(spread, "bin long, width long")), "bin")
     bounds, pieces, held = [], [], 0
     for low, width, size in sorted(done):
         if size > target and held:
