@@ -209,14 +209,15 @@ def count_keys(listing: DataFrame, keys_of: Callable[[pa.Table], tuple], buckets
     def send(chunk, path, _):
         keys, counts, *more = keys_of(read_chunk(path))
         low = np.uint64((1 << BITS) - 1)
-        ends = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(BITS)
-        edges = np.searchsorted(keys, ends)
-        names = np.searchsorted(short_keys(more[0], buckets), ends) if more else np.zeros(buckets + 1, np.int64)
-        some = [b for b in range(buckets) if edges[b] < edges[b + 1] or names[b] < names[b + 1]]
+        home = keys >> np.uint64(BITS)
+        named = short_keys(more[0], buckets) >> np.uint64(BITS) if more else home[:0]
+        some = np.union1d(home, named)
+        own, names = (np.stack([np.searchsorted(x, some), np.searchsorted(x, some, side="right")], 1) for x in (home, named))
         data = []
-        for b in some:
-            steps = np.diff(keys[edges[b] : edges[b + 1]] & low, prepend=np.uint64(0)).astype(np.uint32)
-            data.append(pack(steps, np.minimum(counts[edges[b] : edges[b + 1]], 255).astype(np.uint8), *(m[names[b] : names[b + 1]] for m in more)))
+        for (a, z), (n, m) in zip(own, names, strict=True):
+            steps = np.diff(keys[a:z] & low, prepend=np.uint64(0)).astype(np.uint32)
+            data.append(pack(steps, np.minimum(counts[a:z], 255).astype(np.uint8), *(x[n:m] for x in more)))
+        some = some.astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
 
     def add(bucket, held):

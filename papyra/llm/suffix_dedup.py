@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from papyra.llm.chunks import buckets_for, count_keys, pack, per_bucket, per_chunk, read_chunk, short_keys, text_bytes, totals, unpack, write_chunks
+from papyra.llm.chunks import BITS, buckets_for, count_keys, pack, per_bucket, per_chunk, read_chunk, short_keys, text_bytes, totals, unpack, write_chunks
 from papyra.llm.common import LAST_ID
 
 LENGTH = 50
@@ -41,22 +41,32 @@ def _codes() -> np.ndarray:
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x *= A[4]
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the SEED bytes, and unmixed of the 32 bytes, that start at each place (fewer places at the end)."""
+    def joined(left, a, right):
+        out = left * a
+        out += right
+        return out
+
     h = _codes()[data]
     for width, a in ((1, A[0]), (2, A[1]), (4, A[2])):
-        h = h[:-width] * a + h[width:]
-    eight = h
-    sixteen = eight[:-8] * A[3] + eight[8:]
-    return _mix(sixteen[:-8] * A[5] + eight[16:]), sixteen[:-16] * A[0] + sixteen[16:]
+        h = joined(h[:-width], a, h[width:])
+    sixteen = joined(h[:-8], A[3], h[8:])
+    return _mix(joined(sixteen[:-8], A[5], h[16:])), joined(sixteen[:-16], A[0], sixteen[16:])
 
 
 def _keys(seeds: np.ndarray) -> np.ndarray:
-    """The key of each window: its smallest seed hash, mixed once more, as smallest hashes crowd at the low end."""
-    return _mix(_slide(seeds, LENGTH - SEED + 1, np.minimum) * A[1] + A[2])
+    """The key of each window, before it is spread: its smallest seed hash."""
+    return _slide(seeds, LENGTH - SEED + 1, np.minimum)
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """keys mixed once more, one to one, as smallest hashes crowd at the low end."""
+    return _mix(keys * A[1] + A[2])
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -87,18 +97,20 @@ class Runs:
         text = data[low : low + part + LENGTH - 1]
         seeds, wide = _rolling(text)
         least = _keys(seeds)
+        begin = np.ones(len(least), dtype=bool)
+        np.not_equal(least[1:], least[:-1], out=begin[1:])
         first = int(np.searchsorted(starts, low, side="right")) - 1
         last = int(np.searchsorted(starts, low + len(least), side="left"))
-        edges = np.clip(starts[first : last + 1] - low, 0, len(least))
-        owner = np.repeat(np.arange(first, first + len(edges) - 1), np.diff(edges))
-        inside = np.arange(low, low + len(least)) <= (starts[1:] - LENGTH)[owner]
-        begin = np.ones(len(least), dtype=bool)
-        begin[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+        heads, ends = starts[first:last], starts[first + 1 : last + 1]
+        for edge in (heads, np.maximum(heads, ends - LENGTH + 1)):  # where a document's windows start, and where they are over
+            edge = edge - low
+            begin[edge[(edge >= 0) & (edge < len(least))]] = True
         at = np.flatnonzero(begin)
         size = np.diff(np.append(at, len(least)))
-        good = inside[at]
-        at, size = at[good], size[good]
-        yield at + low, size, owner[at], least[at], run_codes(text, wide, at, size + (LENGTH - 1))
+        owner = np.searchsorted(starts, at + low, side="right") - 1
+        good = at + low <= starts[owner + 1] - LENGTH
+        at, size, owner = at[good], size[good], owner[good]
+        yield at + low, size, owner, _spread(least[at]), run_codes(text, wide, at, size + (LENGTH - 1))
 
     @property
     def size(self) -> np.ndarray:
@@ -141,7 +153,7 @@ def _keys_and_codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tu
         to = max(at + 1, int(np.searchsorted(ends, start[at] + PART)))
         text, own = data[start[at] : ends[to - 1]], start[at:to] - start[at]
         seeds, wide = _rolling(text)
-        keys.append(_keys(seeds)[own])
+        keys.append(_spread(_keys(seeds)[own]))
         codes.append(run_codes(text, wide, own, size[at:to]))
         at = to
     return np.concatenate(keys), np.concatenate(codes)
@@ -161,13 +173,13 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _common_bytes(words: list[np.ndarray]) -> np.ndarray:
     """How many leading bytes, up to LENGTH, each suffix has in common with the one before; 0 for the first.
 
-    words: the suffixes' bytes in suffix order, eight at a time, the last word ending at LENGTH.
+    words: the suffixes' bytes in suffix order, eight at a time, the last word with those that are left, as its low bytes.
     """
     n = len(words[0])
     out, equal = np.zeros(n, dtype=np.int64), np.ones(max(0, n - 1), dtype=bool)
     for k, w in enumerate(words):
         differ = w[1:] ^ w[:-1]
-        fresh = min(8, LENGTH - 8 * k)  # of the last word only the bytes that no earlier word has
+        fresh = min(8, LENGTH - 8 * k)
         lead = np.zeros(len(differ), dtype=np.int64)
         for i in range(fresh):
             lead += (differ & np.uint64((1 << 8 * fresh) - 1)) >> np.uint64(8 * (fresh - 1 - i)) == 0
@@ -209,18 +221,20 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, windows: np.ndarray, g
     The suffixes that start at the windows are sorted by their first LENGTH bytes inside each group; a window is
     repeated if its longest previous factor, previous in the order of documents, is LENGTH bytes long.
     """
-    at = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    if not len(at):
-        return np.zeros(0, dtype=bool)
     piece = np.repeat(np.arange(len(start)), windows)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = [np.ascontiguousarray(eight[at + i]).view(">u8").ravel().astype(np.uint64) for i in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    if not len(piece):
+        return np.zeros(0, dtype=bool)
+    text = _pieces(data, start, windows + (LENGTH - 1))
+    text = np.concatenate([text, np.zeros(-LENGTH % 8, np.uint8)])
+    at = np.arange(len(piece)) + piece * (LENGTH - 1)
+    rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH + -LENGTH % 8)[at].view(">u8")
+    words = [rows[:, k].astype(np.uint64) for k in range(rows.shape[1])]
+    words[-1] >>= np.uint64(8 * (-LENGTH % 8))
     own = group[piece]
-    order = np.lexsort((*words[::-1], own))
+    order = np.lexsort((words[-1].astype(np.uint16), *words[-2::-1], own))
     common = _common_bytes([w[order] for w in words])
     common[1:][own[order][1:] != own[order][:-1]] = 0
-    out = np.empty(len(at), dtype=bool)
+    out = np.empty(len(piece), dtype=bool)
     out[order] = longest_previous_factors(doc[piece][order], common) >= LENGTH
     return out
 
@@ -291,13 +305,17 @@ def _send(ids: np.ndarray, data: np.ndarray, runs: Runs, shared: np.ndarray, hot
     doc = ids[runs.owner]
     later = doc > doc[first][kind]
     target = (place[first] >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
-    for bucket in np.unique(target):
-        kinds = np.flatnonzero(target == bucket)
-        chosen = np.zeros(len(first), dtype=bool)
-        chosen[kinds] = True
-        mine = np.flatnonzero(chosen[kind] & ~later)
-        gone = np.flatnonzero(chosen[kind] & later)
-        number = np.cumsum(chosen) - 1
+    by_bucket = np.argsort(target, kind="stable")
+    some, kinds_from = np.unique(target[by_bucket], return_index=True)
+    number = np.empty(len(first), dtype=np.int64)  # of a kind in its bucket
+    number[by_bucket] = np.arange(len(first)) - np.repeat(kinds_from, np.diff(np.append(kinds_from, len(first))))
+    row_target = target[kind]
+
+    def dealt(rows: np.ndarray) -> list[np.ndarray]:
+        rows = rows[np.argsort(row_target[rows], kind="stable")]
+        return np.split(rows, np.searchsorted(row_target[rows], some)[1:])
+
+    for bucket, kinds, mine, gone in zip(some, np.split(by_bucket, kinds_from[1:]), dealt(np.flatnonzero(~later)), dealt(np.flatnonzero(later)), strict=True):
         size = runs.size[first[kinds]]
         arrays = (
             doc[first[kinds]], size.astype(np.uint32), number[kind[mine]].astype(np.uint32), runs.start[mine].astype(np.uint32),
@@ -396,14 +414,19 @@ def suffix_dedup(
     def keys_of(table: pa.Table):
         ids, _, runs = chunk_runs(table)
         short = short_keys(runs.key, buckets)
-        order, new = _groups(short, ids[runs.owner])
+        # key, then as much of the code as there is room for: the weight may miss a run of the same key, the documents none
+        room = np.uint64(64 - BITS - (buckets.bit_length() - 1))
+        mixed = (short << room) | (runs.code >> (np.uint64(64) - room))
+        order = np.argsort(mixed)
+        short, mixed, doc, size = short[order], mixed[order], ids[runs.owner][order], runs.size[order]
+        if not len(order):
+            return short, np.empty(0, np.int64)
+        new, kind = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+        new[1:], kind[1:] = short[1:] != short[:-1], mixed[1:] != mixed[:-1]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(order))[: len(first)] - 1
-        doc = ids[runs.owner][order]
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         # a run counts with its bytes once, however often the chunk has it
-        by_code, kind = _groups(short, runs.code, runs.owner)
-        size = np.bincount(np.searchsorted(short[order][first], short[by_code[kind]]), runs.size[by_code[kind]], len(first)) if len(first) else np.empty(0)
-        return short[order][first], np.where(doc[first] != doc[last], 2, 1) + size.astype(np.int64) // WEIGHT
+        return short[first], np.where(several, 2, 1) + np.add.reduceat(size * kind, first) // WEIGHT
 
     def send(chunk, path, held):
         ids, data, runs = chunk_runs(read_chunk(path))
