@@ -111,45 +111,45 @@ def heads(chains: DataFrame) -> DataFrame:
     return chains.groupBy("chain").agg(F.max_by("hash", "index").alias("head"), F.count(F.lit(1)).alias("entries"))
 
 
-def check(entries: DataFrame, order: str = "index", key: str | None = None) -> DataFrame:
-    """A row an entry: at, linked and intact. Links compare stored hashes, so every entry can be checked by itself.
+def ranges(entries: DataFrame, order: str = "index", key: str | None = None) -> DataFrame:
+    """A row a chain and range of its order: chain, __range, n, first_prev, last (its hash) and broken.
 
-    Positions count from 0 in order. Each chain is checked in ranges of its order, in parallel: inside a range with its
-    neighbours, at a range's start with the last hash of the range before, of which there is one row a range.
+    broken: at, counted from 0 in the range, and linked, of the first entry that doesn't hold by what its range has; a
+    range's first entry has its link in first_prev alone. The rows are placed once and only sums of a range leave its task:
+    a second placing has other borders, as they come from a sample.
     """
     narrow = entries.select(F.col(key).cast("string").alias("chain") if key else F.lit("").alias("chain"), F.col(order).alias("__order"), *HASHED, "hash")
     narrow = narrow.select("chain", "__order", "prev_hash", "hash", F.coalesce(F.col("hash") == record_hash(*(F.col(n) for n in HASHED)), F.lit(False)).alias("intact"))
     placed = narrow.repartitionByRange("chain", "__order").withColumn("__range", F.spark_partition_id())
     inside = Window.partitionBy("__range", "chain").orderBy("__order", "hash")
-    rows = placed.withColumns({"nth": F.row_number().over(inside), "before": F.lag("hash").over(inside)})
-    ends = placed.groupBy("chain", "__range").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("__order", "hash")).alias("end"))
-    earlier = Window.partitionBy("chain").orderBy("__range")
-    starts = ends.select(
-        F.col("chain").alias("of"), F.col("__range").alias("in"), F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("passed"),
-        F.coalesce(F.lag("end.hash").over(earlier), F.lit(GENESIS)).alias("end_before"),
+    rows = placed.withColumns({"at": F.row_number().over(inside) - 1, "before": F.lag("hash").over(inside)})
+    linked = (F.col("at") == 0) | F.coalesce(F.col("prev_hash") == F.col("before"), F.lit(False))
+    return rows.groupBy("chain", "__range").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("prev_hash", "at").alias("first_prev"), F.max_by("hash", "at").alias("last"),
+        F.min(F.when(~(linked & F.col("intact")), F.struct(F.col("at").cast("long").alias("at"), linked.alias("linked")))).alias("broken"),
     )
-    joined = rows.join(starts, (F.col("chain") == F.col("of")) & (F.col("__range") == F.col("in")))
-    return joined.select(
-        *(["chain"] if key else []),
-        (F.col("passed") + F.col("nth") - 1).alias("at"),
-        F.coalesce(F.col("prev_hash") == F.coalesce("before", "end_before"), F.lit(False)).alias("linked"),
-        "intact",
-    )
 
 
 def verify(entries: DataFrame, order: str = "index", key: str | None = None) -> DataFrame:
-    """is_valid, total_records, broken_at_index and reason: one row, or one a chain. An empty ledger is valid."""
-    rows = check(entries, order, key)
-    broken = ~(F.col("linked") & F.col("intact"))
+    """is_valid, total_records, broken_at_index and reason: one row, or one a chain. An empty ledger is valid.
+
+    Positions count from 0 in order. Links compare stored hashes, so each chain is checked in ranges of its order, in
+    parallel, and a range's first entry with the last hash of the range before.
+    """
+    earlier = Window.partitionBy("chain").orderBy("__range")
+    passed = F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = ranges(entries, order, key).withColumns({"passed": passed, "start": F.row_number().over(earlier) == 1, "before": F.lag("last").over(earlier)})
+    linked = F.coalesce(F.col("first_prev") == F.when(F.col("start"), GENESIS).otherwise(F.col("before")), F.lit(False))
+    first = F.when(~linked, F.struct(F.col("passed").alias("at"), F.lit(False).alias("linked"))).when(
+        F.col("broken").isNotNull(), F.struct((F.col("passed") + F.col("broken.at")).alias("at"), F.col("broken.linked").alias("linked"))
+    )
     number = F.col("broken_at_index").cast("string")
     link = F.concat(
         F.lit("Entry "), number, F.lit("'s prev_hash does not match entry "), (F.col("broken_at_index") - 1).cast("string"),
         F.lit("'s actual hash (an entry may have been inserted, removed, or reordered)."),
     )
     content = F.concat(F.lit("Entry "), number, F.lit("'s stored hash does not match its recomputed hash (one of its fields was likely edited after the fact)."))
-    found = rows.groupBy(*(["chain"] if key else [])).agg(
-        F.count(F.lit(1)).alias("total_records"), F.min(F.when(broken, F.struct("at", "linked"))).alias("first")
-    )
+    found = joined.groupBy(*(["chain"] if key else [])).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"), F.min(first).alias("first"))
     return found.withColumn("broken_at_index", F.col("first.at")).select(
         *(["chain"] if key else []),
         F.col("first").isNull().alias("is_valid"),
