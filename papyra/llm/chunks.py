@@ -8,6 +8,7 @@ packed sorted arrays, one a bucket; a bucket's task adds up the counts and sends
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,10 +20,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papyra.llm.common import new_folder, release, written
 
 CHUNK = 4 << 20
+#: Chunks of a large table are taken together, up to so many bytes, when there are more than UNITS of them.
+UNIT, UNITS = 8 << 20, 256
 #: Keys that a bucket's task holds, about.
 BUCKET_KEYS = 1 << 20
 #: Bits of a key inside its bucket: two keys of a bucket of BUCKET_KEYS seldom share them, and a shared count is only too high.
@@ -82,11 +86,30 @@ def write_chunks(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK) -> Data
     return written(df.mapInArrow(run, LISTING), "listing")
 
 
+def merged(listing: DataFrame) -> DataFrame:
+    """listing with neighbouring chunks taken together, as the rows between chunks and buckets are the product of both numbers.
+
+    Such a chunk has the number of its first one and several paths, a line each; it is no longer than UNIT and its first chunk.
+    """
+    size = listing.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
+    unit = min(UNIT, size // UNITS)
+    if unit <= CHUNK:
+        return listing
+    some = F.shiftright("chunk", 24 + 5)  # the chunks that 32 tasks wrote
+    before = F.sum("n_bytes").over(Window.partitionBy(some).orderBy("chunk"))
+    rows = listing.select("*", some.alias("of"), F.floor((before - 1) / unit).alias("unit"))
+    own = rows.groupBy("of", "unit").agg(F.array_sort(F.collect_list(F.struct("chunk", "path"))).alias("own"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
+    return written(own.select(F.col("own")[0]["chunk"].alias("chunk"), F.array_join("own.path", "\n").alias("path"), "n_rows", "n_bytes"), "listing")
+
+
 def read_chunk(path: str) -> pa.Table:
-    folder, _, name = path.rpartition("/")
-    files, base = pa.fs.FileSystem.from_uri(folder)
-    with files.open_input_stream(f"{base}/{name}") as file, pa.ipc.open_stream(file) as reader:
-        return reader.read_all().combine_chunks()
+    tables = []
+    for one in path.split("\n"):
+        folder, _, name = one.rpartition("/")
+        files, base = pa.fs.FileSystem.from_uri(folder)
+        with files.open_input_stream(f"{base}/{name}") as file, pa.ipc.open_stream(file) as reader:
+            tables.append(reader.read_all())
+    return pa.concat_tables(tables).combine_chunks()
 
 
 def text_bytes(table: pa.Table, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -105,27 +128,51 @@ def text_bytes(table: pa.Table, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 # -- packed arrays -----------------------------------------------------------------------------------------------
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+_head = struct.Struct("<qqq")
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as bytes: by planes, so that a plane of equal bytes costs nothing, and compressed."""
     parts = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts.append(np.array([a.itemsize, len(a), ord(a.dtype.kind)], dtype="<i8").tobytes())
-        parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
-    return zstandard.compress(b"".join(parts), 1)
+        item, n = a.itemsize, len(a)
+        parts.append(_head.pack(item, n, ord(a.dtype.kind)))
+        if n:
+            parts.append(a.tobytes() if item == 1 else np.ascontiguousarray(a).view(np.uint8).reshape(n, item).T.tobytes())
+    return _packer.compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.decompress(data), 0, []
+    data, at, out = _unpacker.decompress(data), 0, []
     while at < len(data):
-        item, n, kind = np.frombuffer(data, dtype="<i8", count=3, offset=at)
+        item, n, kind = _head.unpack_from(data, at)
         at += 24
-        planes = np.frombuffer(data, dtype=np.uint8, count=item * n, offset=at).reshape(item, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"{chr(kind)}{item}").ravel())
-        at += int(item * n)
+        planes = np.frombuffer(data, dtype=np.uint8, count=item * n, offset=at)
+        if item > 1:
+            planes = planes.reshape(item, n).T.ravel()
+        out.append(planes.view(f"{chr(kind)}{item}"))
+        at += item * n
     return out
 
 
+def mail_batches(chunk_bucket_data: Iterator[tuple[int, int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """(chunk, bucket, data) rows as batches of about most bytes: a batch a row costs more than the row."""
+    held, size = [], 0
+    for row in chunk_bucket_data:
+        held.append(row)
+        size += len(row[2])
+        if size >= most:
+            yield _mail(held)
+            held, size = [], 0
+    if held:
+        yield _mail(held)
+
+
+def _mail(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "bucket", "data"])
+
+
 def buckets_for(listing: DataFrame, keys_per_byte: float, bucket_keys: int = BUCKET_KEYS) -> int:
     """A power of two of buckets that hold about bucket_keys keys each, and at least 16."""
     size = listing.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
@@ -177,8 +224,7 @@ def per_bucket(mail: DataFrame, run: Callable[[int, list[tuple[int, bytes]]], It
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(bucket, held):
-            for c, d in run(bucket, held):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([bucket], pa.int32()), pa.array([d], pa.binary())], names=["chunk", "bucket", "data"])
+            yield from mail_batches((c, bucket, d) for c, d in run(bucket, held))
 
         release()
         bucket, held = None, []

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from papyra.llm.chunks import BITS, buckets_for, count_keys, pack, per_bucket, per_chunk, read_chunk, short_keys, text_bytes, totals, unpack, write_chunks
+from papyra.llm.chunks import BITS, buckets_for, count_keys, mail_batches, merged, pack, per_bucket, per_chunk, read_chunk, short_keys, text_bytes, totals, unpack, write_chunks
 from papyra.llm.common import LAST_ID
 
 LENGTH = 50
@@ -26,7 +26,7 @@ SEED = 24
 #: compared one by one, each in the task of its own bytes.
 HOT, WEIGHT = 1024, 512
 #: Times as many buckets for runs as for keys.
-SPLIT = 4
+SPLIT = 2
 #: Windows that are hashed, and about as many that are sorted, at a time.
 PART = 1 << 19
 
@@ -367,20 +367,25 @@ def _settle(held: list[tuple[int, bytes]]):
     begins = np.searchsorted(found_kind, np.arange(len(first) + 1))
     whole = doc > doc[first][kind]
 
-    at = 0
-    for (chunk, _), p in zip(held, parts, strict=True):
-        n = len(p[0])
-        own, places = p[2].astype(np.int64) + at, p[3].astype(np.int64)
-        all_gone = whole[own]
-        some, of = places[~all_gone], kind[own[~all_gone]]
-        counts = begins[of + 1] - begins[of]
-        pick = np.repeat(begins[of] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        starts = np.concatenate([p[4].astype(np.int64), places[all_gone], np.repeat(some, counts) + found_at[pick]])
-        sizes = np.concatenate([p[5].astype(np.int64), size[own[all_gone]], found_size[pick]])
-        at += n
-        if len(starts):
-            o = np.argsort(starts, kind="stable")
-            yield chunk, pack(np.diff(starts[o], prepend=0).astype(np.uint32), sizes[o].astype(np.uint32))
+    def joined(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Array i of all chunks, and each value's number of its chunk in held."""
+        return np.concatenate([p[i] for p in parts]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p[i]) for p in parts])
+
+    own, place_of = joined(2)
+    own += np.repeat(np.cumsum([0, *(len(p[0]) for p in parts[:-1])]), [len(p[2]) for p in parts])
+    (places, _), (gone, gone_of), (gone_size, _) = joined(3), joined(4), joined(5)
+    all_gone = whole[own]
+    of = kind[own[~all_gone]]
+    counts = begins[of + 1] - begins[of]
+    pick = np.repeat(begins[of] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    starts = np.concatenate([gone, places[all_gone], np.repeat(places[~all_gone], counts) + found_at[pick]])
+    sizes = np.concatenate([gone_size, size[own[all_gone]], found_size[pick]]).astype(np.uint32)
+    home = np.concatenate([gone_of, place_of[all_gone], np.repeat(place_of[~all_gone], counts)])
+    o = np.lexsort((starts, home))
+    starts, sizes, ends = starts[o], sizes[o], np.searchsorted(home[o], np.arange(len(parts) + 1))
+    for (chunk, _), a, z in zip(held, ends, ends[1:], strict=False):
+        if z > a:
+            yield chunk, pack(np.diff(starts[a:z], prepend=0).astype(np.uint32), sizes[a:z])
 
 
 def _ids(table: pa.Table, id_col: str) -> np.ndarray:
@@ -404,6 +409,7 @@ def suffix_dedup(
     bring runs together; what goes has the same bytes as something earlier, compared byte by byte.
     """
     listing = write_chunks(df.select(id_col, text_col) if report else df, text_col, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
+    listing = merged(listing)
     buckets = buckets_for(listing, 1 / 12)
     parts = buckets * SPLIT  # runs have more bytes than their keys
 
@@ -435,8 +441,7 @@ def suffix_dedup(
         if len(count) != len(keys):
             raise RuntimeError("counts don't fit the chunk")
         count = count[at]
-        for bucket, data in _send(ids, data, runs, count > 1, count >= hot, parts):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "bucket", "data"])
+        yield from mail_batches((chunk, bucket, data) for bucket, data in _send(ids, data, runs, count > 1, count >= hot, parts))
 
     def finish(chunk, path, held):
         table = read_chunk(path)
@@ -447,13 +452,19 @@ def suffix_dedup(
             at = np.cumsum(at.astype(np.int64))
             np.add.at(edge, at, 1)
             np.add.at(edge, at + size.astype(np.int64), -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[starts])
+        gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+        edge[0] = 0  # the same long array then counts marked bytes
+
+        def marked(which: np.ndarray) -> np.ndarray:
+            np.cumsum(which, out=edge[1:])
+            return np.diff(edge[starts]).astype(np.int64)
+
+        removed = marked(gone)
         kept = [data[a:b][~gone[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(starts, starts[1:], removed, strict=False)]
         if report:
             begin = gone & ~np.concatenate([[False], gone[:-1]])
             begin[starts[:-1][np.diff(starts) > 0]] = gone[starts[:-1][np.diff(starts) > 0]]
-            spans = np.diff(np.concatenate([[0], np.cumsum(begin)])[starts])
+            spans = marked(begin)
             yield pa.RecordBatch.from_arrays(
                 [table.column(id_col).combine_chunks() if table.num_rows else pa.array([], pa.int64()), pa.array(np.diff(starts)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
