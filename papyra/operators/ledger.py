@@ -38,16 +38,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col(f.split()[0]) for f in LEDGER.split(", ")), F.col("_corrupt_record").isNotNull().alias("corrupt"))
 
 
-def build(records: DataFrame, order: str = "index", prev_hash: str = GENESIS, start: int = 0, key: str | None = None) -> DataFrame:
+def build(records: DataFrame, order: str = "index", prev_hash: str = GENESIS, start: int = 0, key: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """records (order, timestamp, document_id, risk_score as text, decision) as chained entries.
 
     A chain is serial by nature: each hash has the one before. Without key there is one chain, and its five narrow columns
     go through one task in order, a batch at a time. With key each of its values has a chain of its own, in parallel;
-    heads() of those can be chained in turn. A missing document id is the sentinel.
+    heads() of those can be chained in turn. A missing document id is the sentinel. Columns named in keep go beside their
+    own entry as text and aren't hashed: nothing else tells for sure which record an entry is of.
     """
     columns = ("timestamp", "document_id", "risk_score", "decision")
     keys = [F.col(key).cast("string").alias("chain")] if key else [F.lit("").alias("chain")]
-    rows = records.select(*keys, F.col(order).cast("long").alias("at"), *(F.col(c).cast("string").alias(c) for c in columns))
+    rows = records.select(*keys, F.col(order).cast("long").alias("at"), *(F.col(c).cast("string").alias(c) for c in (*columns, *keep)))
     rows = rows.withColumn("document_id", F.when(F.col("document_id") != "", F.col("document_id")).otherwise(NOT_DETECTED))
     rows = (rows.repartition("chain") if key else rows.repartition(1)).sortWithinPartitions("chain", "at")
 
@@ -55,7 +56,7 @@ def build(records: DataFrame, order: str = "index", prev_hash: str = GENESIS, st
         chain, before, n = None, prev_hash, start
         for pdf in batches:
             out = []
-            for c, _, timestamp, document_id, score, decision in pdf.itertuples(index=False):
+            for c, _, timestamp, document_id, score, decision, *kept in pdf.itertuples(index=False):
                 if c != chain:
                     chain, before, n = c, prev_hash, start
                 score_text = "null" if score is None else score
@@ -64,11 +65,11 @@ def build(records: DataFrame, order: str = "index", prev_hash: str = GENESIS, st
                     f'"risk_score": {score_text}, "timestamp": {json.dumps(timestamp)}}}'
                 )
                 own = hashlib.sha256(text.encode()).hexdigest()
-                out.append((c, before, timestamp, document_id, score, decision, own, n))
+                out.append((c, before, timestamp, document_id, score, decision, own, n, *kept))
                 before, n = own, n + 1
-            yield pd.DataFrame(out, columns=["chain", *(f.split()[0] for f in LEDGER.split(", "))])
+            yield pd.DataFrame(out, columns=["chain", *(f.split()[0] for f in LEDGER.split(", ")), *keep])
 
-    built = rows.mapInPandas(run, f"chain string, {LEDGER}")
+    built = rows.mapInPandas(run, ", ".join(["chain string", LEDGER, *(f"`{c}` string" for c in keep)]))
     return built if key else built.drop("chain")
 
 
