@@ -181,7 +181,7 @@ def stay_days(c: Column) -> Column:
 
 def json_string(c: Column) -> Column:
     """A JSON string literal in ASCII, as ledger hashes need it: null is ``null``."""
-    plain = c.rlike(r'^[\x20-\x21\x23-\x5b\x5d-\x7e]*$')
+    plain = c.rlike(r'^[\x20-\x21\x23-\x5b\x5d-\x7e]*\z')
     return F.when(c.isNull(), "null").when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(_escaped(F.when(~plain, c)))
 
 
